@@ -81,6 +81,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source AS publication",
             "array(concat('https://', source, '.example.com/rss'), concat('https://', source, '.example.com/atom')) AS urls",
             "source <> 'src3' AS enabled",
+            "cast(substring(source, 4) AS int) AS pub_ord",
         )
     )
 
@@ -140,7 +141,8 @@ SQL_VIEWS = {
     "publication_config": """
         SELECT source AS publication, unnest([concat('https://', source, '.example.com/rss'),
                concat('https://', source, '.example.com/atom')]) AS feed_url,
-               unnest([0, 1]) AS url_ord, source <> 'src3' AS enabled
+               unnest([0, 1]) AS url_ord, source <> 'src3' AS enabled,
+               CAST(substr(source, 4) AS INTEGER) AS pub_ord
         FROM (SELECT DISTINCT source FROM documents)""",
     "entry": f"""
         SELECT CASE page_id % 4 WHEN 0 THEN 'HackerNews' WHEN 1 THEN 'FT' WHEN 2 THEN 'Guardian' ELSE 'Other' END

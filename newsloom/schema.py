@@ -61,6 +61,7 @@ PUBLICATION = T.StructType(
         T.StructField("publication", T.StringType()),
         T.StructField("urls", STRINGS),
         T.StructField("enabled", T.BooleanType()),
+        T.StructField("pub_ord", T.IntegerType()),
     ]
 )
 
@@ -84,3 +85,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             for f in schema.fields
         ]
     )
+
+
+def conform_entries(df: DataFrame) -> DataFrame:
+    """``ENTRY``, with whatever orderable type ``entry_ord`` has."""
+    own = df.schema["entry_ord"].dataType
+    return conform(
+        df, T.StructType([T.StructField("entry_ord", own) if f.name == "entry_ord" else f for f in ENTRY.fields])
+    )

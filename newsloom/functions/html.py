@@ -141,14 +141,21 @@ def _or_none(convert, markup):
         return None
 
 
-@F.pandas_udf(T.StringType())
-def _page_text_udf(markup: pd.Series) -> pd.Series:
-    return pd.Series([_or_none(page_text, m) for m in markup], dtype=object)
+def _arrow_column(convert):
+    """``convert`` as a function of Arrow batches.
+
+    Marked nondeterministic, so the optimizer computes it once and does not copy it into filters.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(markup: pd.Series) -> pd.Series:
+        return pd.Series([_or_none(convert, m) for m in markup], dtype=object)
+
+    return run.asNondeterministic()
 
 
-@F.pandas_udf(T.StringType())
-def _paragraph_text_udf(markup: pd.Series) -> pd.Series:
-    return pd.Series([_or_none(paragraph_text, m) for m in markup], dtype=object)
+_page_text_column = _arrow_column(page_text)
+_paragraph_text_column = _arrow_column(paragraph_text)
 
 
 def html_to_text(col: Column) -> Column:
@@ -157,7 +164,7 @@ def html_to_text(col: Column) -> Column:
     blank = (F.char_length(col) > 0) & (F.btrim(col, F.lit(ASCII_BLANKS)) == "")
     return (
         F.when(col.isNull(), F.lit(""))
-        .when(markup, _page_text_udf(F.when(markup, col)))
+        .when(markup, _page_text_column(F.when(markup, col)))
         .when(blank, F.when(col.contains("\n"), F.lit("\n")).otherwise(F.lit(" ")))
         .otherwise(col)
     )
@@ -169,4 +176,4 @@ def paragraphs_to_text(col: Column) -> Column:
     NULL stays NULL; unreadable markup gives NULL too.
     """
     markup = F.lower(col).contains("<p")
-    return F.when(markup, _paragraph_text_udf(F.when(markup, col))).otherwise(col)
+    return F.when(markup, _paragraph_text_column(F.when(markup, col))).otherwise(col)

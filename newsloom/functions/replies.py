@@ -70,6 +70,10 @@ def _read_replies(bodies: pd.Series) -> pd.DataFrame:
     return frame
 
 
+# computed once; the optimizer must not copy it into every use of a field
+_read_replies = _read_replies.asNondeterministic()
+
+
 def parse_reply(reply: Column, model_error: Column | None = None) -> Column:
     """Tagging result of a reply; ``model_error`` is the error of the model call, if any."""
     failed = model_error if model_error is not None else F.lit(None).cast("string")

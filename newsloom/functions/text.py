@@ -111,15 +111,14 @@ def has_bad_content(title_short: Column, summary_short: Column) -> Column:
 
 
 def strip_query(url: Column) -> Column:
-    """Scheme, host and path of a URL: no query, fragment or ``;params`` of the last segment."""
-    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-    bare = F.regexp_replace(clean, r"(?s)[?#].*$", "")
-    bare = F.regexp_replace(bare, r"(?s)^([^:/]+://[^/]*/(?:.*/)?[^/;]*);[^/]*$", "$1")
-    scheme = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    size = F.char_length(scheme)
-    return F.when(size > 0, F.concat(F.lower(scheme), F.substring(bare, size + 1, F.char_length(bare)))).otherwise(
-        bare
-    )
+    """Scheme, host and path of a URL: no query, fragment or ``;params`` of the last segment.
+
+    The scheme is lower-cased; leading blanks and embedded tabs and line breaks are dropped.
+    """
+    scheme = F.regexp_extract(url, r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.\-\t\r\n]*:", 0)
+    even = F.concat(F.lower(scheme), F.substr(url, F.char_length(scheme) + 1))
+    bare = F.regexp_replace(even, r"(?s)^[\x00-\x20]+|[\t\r\n]|[?#].*$", "")
+    return F.regexp_replace(bare, r"(?s)^([^:/]+://[^/]*/(?:.*/)?[^/;]*);[^/]*$", "$1")
 
 
 def title_case(col: Column) -> Column:

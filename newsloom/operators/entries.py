@@ -44,10 +44,19 @@ def is_fresh(published: Column, as_of: Column, max_age_days: int = MAX_AGE_DAYS)
     return published >= F.date_trunc("SECOND", as_of) - F.expr(f"interval {int(max_age_days)} days")
 
 
-def normalize_entries(entries: DataFrame, as_of: datetime | Column, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
-    """Apply the site rules; every entry comes out once, rejected ones with ``reject_reason``."""
+def normalize_entries(
+    entries: DataFrame, as_of: datetime | Column, max_age_days: int = MAX_AGE_DAYS, only_fresh: bool = False
+) -> DataFrame:
+    """Apply the site rules; every entry comes out once, rejected ones with ``reject_reason``.
+
+    ``only_fresh`` leaves stale and undated entries out altogether, by a filter the source can
+    apply while reading.
+    """
     at = as_of if isinstance(as_of, Column) else F.lit(as_of)
     raw = conform_entries(entries)
+    fresh = is_fresh(F.col("published_parsed"), at, max_age_days)
+    if only_fresh:
+        raw = raw.where(fresh)
     e = (
         raw.withColumn("route", route(F.col("entry_id"), F.col("link"), F.col("wsj_articletype")))
         .withColumn("bare_link", strip_query(F.col("link")))
@@ -57,10 +66,11 @@ def normalize_entries(entries: DataFrame, as_of: datetime | Column, max_age_days
     wants_paragraphs = (
         is_route("hacker_news") | is_route("default") | (is_route("guardian_nyt") & ~F.col("on_nyt"))
     )
-    fresh = is_fresh(F.col("published_parsed"), at, max_age_days)
     # Stale entries are dropped before their markup is looked at.
-    e = e.withColumn("fresh", F.coalesce(fresh, F.lit(False))).withColumn(
-        "paragraphs", paragraphs_to_text(F.when(wants_paragraphs & F.col("fresh"), F.col("summary")))
+    e = (
+        e.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
+        .withColumn("markup", F.when(wants_paragraphs & F.col("fresh"), F.col("summary")))
+        .withColumn("paragraphs", paragraphs_to_text(F.col("markup")))
     )
 
     on_ft = _has(F.col("bare_link"), "ft.com")
@@ -72,7 +82,7 @@ def normalize_entries(entries: DataFrame, as_of: datetime | Column, max_age_days
         .when(~is_route("hacker_news") & F.col("link").isNull(), "no_link")
         .when(is_route("wsj_ft") & ~on_ft & ~on_wsj, "unexpected_link")
         .when(is_route("wsj_ft") & ~on_ft & many_tags, "too_many_tags")
-        .when(wants_paragraphs & F.col("summary").isNotNull() & F.col("paragraphs").isNull(), "bad_html")
+        .when(F.col("markup").isNotNull() & F.col("paragraphs").isNull(), "bad_html")
         .when(F.col("title").isNull(), "no_title")
         .when(is_route("hacker_news") & F.col("comments").isNull(), "no_comments")
         .when(F.col("published").isNull(), "no_published")

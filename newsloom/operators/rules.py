@@ -118,7 +118,8 @@ def _automaton_hits(names: list[str]):
             found = [None if t is None else min((at for _, at in automaton.iter(t)), default=None) for t in texts]
             yield pd.Series([None if at is None else names[at] for at in found], dtype=object)
 
-    return first_hit
+    # computed once, not copied into filters
+    return first_hit.asNondeterministic()
 
 
 def _first_by_automaton(texts: DataFrame, tags: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from newsloom.sources.publications import publication_feeds
 
 
 def collect(entries: DataFrame, as_of: datetime, drop_feed_on_bad_date: bool = False) -> DataFrame:
-    return collect_entries(normalize_entries(entries, as_of), drop_feed_on_bad_date)
+    normalized = normalize_entries(entries, as_of, only_fresh=not drop_feed_on_bad_date)
+    return collect_entries(normalized, drop_feed_on_bad_date)
 
 
 def ingest(

@@ -42,9 +42,13 @@ def query(run: Query) -> Query:
     return run
 
 
-def digest(col: Column | str, name: str) -> list[Column]:
-    col = F.col(col) if isinstance(col, str) else col
-    return [F.char_length(col).cast("long").alias(f"{name}_len"), F.md5(col).alias(f"{name}_md5")]
+def digest(df: DataFrame, key: str, **texts: Column) -> DataFrame:
+    """Key, and length and MD5 of each text; the texts are computed first and once."""
+    shown = df.select(key, *[c.alias(n) for n, c in texts.items()])
+    columns = []
+    for n in texts:
+        columns += [F.char_length(n).cast("long").alias(f"{n}_len"), F.md5(n).alias(f"{n}_md5")]
+    return shown.select(key, *columns)
 
 
 def joined(col: str, name: str | None = None) -> Column:
@@ -141,7 +145,7 @@ def recent_articles(spark, sf):
 @query
 def recent_articles_for_models(spark, sf):
     ready = sel.recent_for_models(dv.articles(spark, sf), AS_OF, ["embedding2"])
-    return ready.select("id", *digest("title_short", "title"), *digest("summary_short", "summary"), *digest("combined", "combined"))
+    return digest(ready, "id", title=F.col("title_short"), summary=F.col("summary_short"), combined=F.col("combined"))
 
 
 @query
@@ -166,7 +170,7 @@ def rescorable_articles(spark, sf):
 
 @query
 def classified_without_embedding(spark, sf):
-    return sel.classified_without_embedding(dv.articles(spark, sf)).select("id", *digest("combined", "combined"))
+    return digest(sel.classified_without_embedding(dv.articles(spark, sf)), "id", combined=F.col("combined"))
 
 
 @query
@@ -206,45 +210,43 @@ def bad_content_marks(spark, sf):
 
 @query
 def collapsed_whitespace(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *digest(tx.collapse_whitespace(F.col("text")), "text"))
+    return digest(table(spark, sf, "documents"), "doc_id", text=tx.collapse_whitespace(F.col("text")))
 
 
 @query
 def lower_case(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *digest(tx.lower_case(F.col("text")), "text"))
+    return digest(table(spark, sf, "documents"), "doc_id", text=tx.lower_case(F.col("text")))
 
 
 @query
 def special_characters_removed(spark, sf):
     d, c = table(spark, sf, "documents"), F.col("text")
-    return d.select(
-        "doc_id",
-        *digest(tx.remove_special_characters(c), "kept_digits"),
-        *digest(tx.remove_special_characters(c, remove_digits=True), "no_digits"),
+    return digest(
+        d, "doc_id", kept_digits=tx.remove_special_characters(c), no_digits=tx.remove_special_characters(c, remove_digits=True)
     )
 
 
 @query
 def short_texts(spark, sf):
     a = dv.articles(spark, sf)
-    return a.select("id", *digest(tx.short_title(F.col("title")), "title"), *digest(tx.short_summary(F.col("summary")), "summary"))
+    return digest(a, "id", title=tx.short_title(F.col("title")), summary=tx.short_summary(F.col("summary")))
 
 
 @query
 def texts_before_bar(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *digest(tx.before_bar(F.col("text")), "text"))
+    return digest(table(spark, sf, "documents"), "doc_id", text=tx.before_bar(F.col("text")))
 
 
 @query
 def texts_cut_short(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *digest(tx.cut_short(F.col("text"), 300, tx.SUMMARY_ERROR), "text"))
+    return digest(table(spark, sf, "documents"), "doc_id", text=tx.cut_short(F.col("text"), 300, tx.SUMMARY_ERROR))
 
 
 @query
 def combined_texts(spark, sf):
     a = dv.articles(spark, sf)
     c = F.col
-    return a.select("id", *digest(tx.combined_text(c("publication"), c("title"), c("summary"), c("author")), "combined"))
+    return digest(a, "id", combined=tx.combined_text(c("publication"), c("title"), c("summary"), c("author")))
 
 
 @query
@@ -254,22 +256,22 @@ def stripped_urls(spark, sf):
 
 @query
 def title_cased(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *digest(tx.title_case(F.col("text")), "text"))
+    return digest(table(spark, sf, "documents"), "doc_id", text=tx.title_case(F.col("text")))
 
 
 @query
 def newlines_to_spaces(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *digest(tx.newlines_to_spaces(F.col("text")), "text"))
+    return digest(table(spark, sf, "documents"), "doc_id", text=tx.newlines_to_spaces(F.col("text")))
 
 
 @query
 def page_texts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", *digest(html_to_text(F.col("html")), "text"))
+    return digest(table(spark, sf, "pages"), "page_id", text=html_to_text(F.col("html")))
 
 
 @query
 def paragraph_texts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", *digest(paragraphs_to_text(F.col("html")), "text"))
+    return digest(table(spark, sf, "pages"), "page_id", text=paragraphs_to_text(F.col("html")))
 
 
 # --- feed entries -----------------------------------------------------------------------------
@@ -325,7 +327,7 @@ def collected_entries(spark, sf):
 def collected_html_entries(spark, sf):
     """Entries whose summaries are whole web pages."""
     got = ingest.collect(dv.entries(spark, sf, html_summary=True), AS_OF)
-    return got.select("entry_ord", "link", *digest("summary", "summary"))
+    return digest(got, "entry_ord", link=F.col("link"), summary=F.col("summary"))
 
 
 def _undated(spark, sf):
@@ -655,7 +657,7 @@ def scoring_prompts(spark, sf):
     a = sel.prepare_for_models(dv.articles(spark, sf))
     taxonomy = format_taxonomy(_taxonomy(spark, sf)).scalar()
     prompt = build_prompt(PROMPT, taxonomy, F.lit(PROFILE), F.col("combined"))
-    return a.select("id", *digest(prompt, "prompt"))
+    return digest(a, "id", prompt=prompt)
 
 
 def _embed(texts):

@@ -225,7 +225,7 @@ ORACLE["split_by_publication"] = (
 _HTML_SUMMARY = f"""CASE WHEN c.route = 'wsj_ft' OR (c.route = 'guardian_nyt' AND contains(c.link, 'nytimes.com')) THEN {_html_text(_NO_SCRIPT).replace('html', 'c.html')}
       WHEN c.route = 'hacker_news' THEN 'Points:' || p.paragraphs ELSE p.paragraphs END"""
 ORACLE["collected_html_entries"] = (
-    _N + f", {_PARAGRAPHS} SELECT c.entry_ord, c.link, {_digest(_HTML_SUMMARY, 'summary')} "
+    _N + f", {_PARAGRAPHS} SELECT c.entry_ord, {_digest('c.link', 'link')}, {_digest(_HTML_SUMMARY, 'summary')} "
     "FROM collected c JOIN paragraph p ON p.page_id = c.entry_ord"
 )
 _UNDATED_NORMAL = _NORMAL.replace(

@@ -31,7 +31,7 @@ def ingest_batch(batch: DataFrame, feeds: DataFrame, table: str, as_of: datetime
     spark = batch.sparkSession
     now = as_of or spark.sql("SELECT current_timestamp()").first()[0]
     entries = attach_feeds(number_rows(batch), feeds)
-    collected = materialize(collect_entries(normalize_entries(entries, now)), "micro-batch")
+    collected = materialize(collect_entries(normalize_entries(entries, now, only_fresh=True)), "micro-batch")
     append_rows(insert_absent(_known_articles(spark, table), collected, now), table)
 
 

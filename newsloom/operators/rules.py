@@ -9,6 +9,7 @@ and its names are looked for in the texts by a multi-pattern automaton, block by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,8 +93,8 @@ def mark_by_tags(articles: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def search_text(title: Column, summary: Column) -> Column:
-    """Title and summary without a separator, in title case; NULL without a title."""
-    return title_case(F.concat(title, F.coalesce(summary, F.lit(""))))
+    """Title and summary without a separator; NULL without a title."""
+    return F.concat(title, F.coalesce(summary, F.lit("")))
 
 
 def _first_in_text(text: Column, names: list[str]) -> Column:
@@ -102,55 +103,71 @@ def _first_in_text(text: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.when(text.contains(n), F.lit(n)) for n in names])
 
 
-def _automaton_hits(names: list[str]):
-    """Column function: the earliest of ``names`` that is contained in the text."""
+def _automaton_hits(names: list[tuple[str, bool]]):
+    """Column function: the earliest disliked and the earliest liked name in a text's title case."""
+
+    @F.pandas_udf("neg string, pos string")
+    def first_hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from operator import itemgetter
 
-    @F.pandas_udf("string")
-    def first_hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for at, name in enumerate(names):
-            if name not in automaton:
-                automaton.add_word(name, at)
+        for at, (name, bad) in enumerate(names):
+            automaton.add_word(name, automaton.get(name, {}) | {bad: automaton.get(name, {}).get(bad, at)})
+        # a name may stand on both sides: (disliked, liked) positions, infinite where absent
+        for name in list(automaton.keys()):
+            sides = automaton.get(name)
+            automaton.add_word(name, (sides.get(True, math.inf), sides.get(False, math.inf)))
         automaton.make_automaton()
+
+        def search(text):
+            found = set(map(itemgetter(1), automaton.iter(text.title()))) if text else ()
+            firsts = [min((f[side] for f in found), default=math.inf) for side in (0, 1)]
+            return [names[at][0] if at < math.inf else None for at in firsts]
+
         for texts in batches:
-            found = [None if t is None else min((at for _, at in automaton.iter(t)), default=None) for t in texts]
-            yield pd.Series([None if at is None else names[at] for at in found], dtype=object)
+            yield pd.DataFrame([search(t) for t in texts], columns=["neg", "pos"], dtype=object)
 
     # computed once, not copied into filters
-    return first_hit.asNondeterministic()
+    return first_hits.asNondeterministic()
 
 
 def _first_by_automaton(texts: DataFrame, tags: DataFrame) -> DataFrame:
-    """Columns neg and pos for a long tag table, one pass per block of names and polarity."""
-    polar = _polar(tags)
-    for column, bad in (("neg", True), ("pos", False)):
-        side = polar.where(F.col("bad") == bad).select("tag_id", "name")
-        texts = texts.withColumn(column, F.lit(None).cast("string"))
-        block = side
-        while names := [tuple(r) for r in block.orderBy("tag_id", "name").limit(AUTOMATON_TAGS).collect()]:
-            # only texts without a hit in an earlier block are searched again
-            hit = _automaton_hits([n for _, n in names])(F.when(F.col(column).isNull(), F.col("search_text")))
-            texts = texts.withColumn(column, F.coalesce(F.col(column), hit))
-            if len(names) < AUTOMATON_TAGS:
-                break
-            tag_id, name = names[-1]
-            block = side.where((F.col("tag_id") > tag_id) | ((F.col("tag_id") == tag_id) & (F.col("name") > name)))
+    """Columns neg and pos for a long tag table, one pass per block of names."""
+    polar = _polar(tags).select("tag_id", "name", "bad")
+    none = F.lit(None).cast("string")
+    texts = texts.withColumns({"neg": none, "pos": none})
+    block = polar
+    while rows := block.orderBy("tag_id", "name", "bad").limit(AUTOMATON_TAGS).collect():
+        # only texts that still miss a side are searched again
+        open_text = F.when(F.col("neg").isNull() | F.col("pos").isNull(), F.col("text"))
+        texts = texts.withColumn("hit", _automaton_hits([(r["name"], r["bad"]) for r in rows])(open_text))
+        texts = texts.withColumns(
+            {"neg": F.coalesce("neg", "hit.neg"), "pos": F.coalesce("pos", "hit.pos")}
+        ).drop("hit")
+        if len(rows) < AUTOMATON_TAGS:
+            break
+        last = rows[-1]
+        block = polar.where(
+            F.struct("tag_id", "name", "bad")
+            > F.struct(F.lit(last["tag_id"]), F.lit(last["name"]), F.lit(last["bad"]))
+        )
     return texts
 
 
 def mark_by_text(articles: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id, score, reason) from tags contained in title and summary, case kept.
+    """(id, score, reason) from tags contained in title and summary, both in title case.
 
     The first tag in ``tag_id`` order of each polarity counts. Tags that are not in title case
     cannot match.
     """
-    texts = articles.select("id", search_text(F.col("title"), F.col("summary")).alias("search_text"))
+    texts = articles.select("id", search_text(F.col("title"), F.col("summary")).alias("text"))
     names = _literals(tags)
     if names is not None:
         bad, good = names
-        text = F.col("search_text")
+        texts = texts.select("id", title_case(F.col("text")).alias("text"))
+        text = F.col("text")
         found = texts.select("id", _first_in_text(text, bad).alias("neg"), _first_in_text(text, good).alias("pos"))
     else:
         found = _first_by_automaton(texts, tags)
@@ -180,8 +197,8 @@ def run_rules(articles: DataFrame, tags: DataFrame, rescore: bool = False) -> Da
         marked = marked.select("id", "title", "summary", by_tag["score"].alias("ts"), by_tag["reason"].alias("tr"))
         # texts are only read where the tags decided nothing
         text = F.when(F.col("ts") == 0, search_text(F.col("title"), F.col("summary")))
-        marked = marked.select("id", "ts", "tr", text.alias("search_text"))
-        found = F.col("search_text")
+        marked = marked.select("id", "ts", "tr", title_case(text).alias("text"))
+        found = F.col("text")
         marked = marked.select(
             "id", "ts", "tr", _first_in_text(found, bad).alias("neg"), _first_in_text(found, good).alias("pos")
         )

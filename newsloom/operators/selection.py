@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import combined_text, has_bad_content, short_summary, short_title
+from newsloom.functions.text import combined_text, has_bad_content, plain_line, short_summary, short_title
 
 # Defaults of the recent-article selection and the agent set by people.
 MAX_RECENT_ARTICLES = 200
@@ -61,11 +61,21 @@ def training_set(articles: DataFrame) -> DataFrame:
     return articles.where((F.col("agent") == USER) & F.col("embedding2").isNotNull())
 
 
+def with_short_texts(articles: DataFrame) -> DataFrame:
+    """Add title_short and summary_short. The markup is read once, in a step of its own."""
+    c = F.col
+    return (
+        articles.withColumns({"_title": plain_line(c("title")), "_summary": plain_line(c("summary"))})
+        .withColumns({"title_short": short_title(c("_title")), "summary_short": short_summary(c("_summary"))})
+        .drop("_title", "_summary")
+    )
+
+
 def prepare_for_models(articles: DataFrame) -> DataFrame:
     """Add title_short, summary_short, has_bad_content and combined; drop rows without text."""
     c = F.col
     return (
-        articles.withColumns({"title_short": short_title(c("title")), "summary_short": short_summary(c("summary"))})
+        with_short_texts(articles)
         .withColumns(
             {
                 "has_bad_content": has_bad_content(c("title_short"), c("summary_short")),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
 from newsloom.functions.dates import parse_published
-from newsloom.functions.html import html_to_text, paragraphs_to_text
+from newsloom.functions.html import collapse_whitespace, html_to_text, paragraphs_to_text
 from newsloom.functions.prompts import build_prompt, format_taxonomy
 from newsloom.functions.replies import parse_reply
 from newsloom.functions.vectors import l2_distance
@@ -210,7 +210,7 @@ def bad_content_marks(spark, sf):
 
 @query
 def collapsed_whitespace(spark, sf):
-    return digest(table(spark, sf, "documents"), "doc_id", text=tx.collapse_whitespace(F.col("text")))
+    return digest(table(spark, sf, "documents"), "doc_id", text=collapse_whitespace(F.col("text")))
 
 
 @query
@@ -228,8 +228,8 @@ def special_characters_removed(spark, sf):
 
 @query
 def short_texts(spark, sf):
-    a = dv.articles(spark, sf)
-    return digest(a, "id", title=tx.short_title(F.col("title")), summary=tx.short_summary(F.col("summary")))
+    a = sel.with_short_texts(dv.articles(spark, sf))
+    return digest(a, "id", title=F.col("title_short"), summary=F.col("summary_short"))
 
 
 @query

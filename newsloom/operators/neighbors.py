@@ -6,8 +6,8 @@ its ``k`` nearest. No pair table is ever built; tasks keep only the ``k`` best p
 * Articles with the same vector share one representative, and of the ids behind a vector only
   the ``k + 1`` smallest can appear in a result (ties go to the smaller id, and an article may
   have to skip itself). Groups of copies therefore never multiply.
-* While the distinct recent vectors fit a checked bound they are broadcast and the article table
-  is scanned once, without moving a vector (:func:`_scan_join`).
+* While the recent vectors fit a checked bound they are broadcast and the article table is
+  scanned once, without moving a vector (:func:`_scan_join`).
 * Beyond the bound both sides are routed by pivot cells. Triangle and bisector inequalities drop
   cells that cannot matter, and a cell with many rows is cut into blocks of bounded size
   (:func:`_cell_join`).
@@ -25,14 +25,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import materialize
+from newsloom.session import broadcast_if_small, materialize
 
-# Distinct recent vectors are broadcast up to this size (doubles), else routed by cells.
+# Recent vectors are broadcast up to these bounds (bytes as doubles), else routed by cells.
 BROADCAST_VECTOR_BYTES = 64 * 1024 * 1024
+BROADCAST_VECTOR_ROWS = 200_000
+HOT_COPIES = 10_000
 PIVOTS = 64
 BLOCK_ROWS = 4096
 _MATRIX_CELLS = 2_000_000  # size of one distance matrix inside a task
 
+_PAIR_SCHEMA = (
+    "source_id long, source_score int, source_agent string, distance double, neighbor_id long, neighbor_score int"
+)
 _HIT_SCHEMA = "u long, neighbor_id long, neighbor_score int, distance double"
 
 
@@ -48,6 +53,18 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
     return flat.astype(dtype).reshape(len(column), -1)
 
 
+def _without_spare_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
+    """Positions of the rows with one of the ``keep`` smallest ids of their vector."""
+    if len(ids) <= keep:
+        return np.arange(len(ids))
+    raw = np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()
+    _, group = np.unique(raw, return_inverse=True)
+    order = np.lexsort((ids, group))
+    sorted_group = group[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_group, sorted_group)
+    return order[rank < keep]
+
+
 class _Best:
     """The ``k`` nearest neighbours seen so far for each of a block of vectors.
 
@@ -81,6 +98,8 @@ class _Best:
         return float(np.partition(found, wanted - 1)[wanted - 1]) if found.size >= wanted else np.inf
 
     def add(self, ids: np.ndarray, scores: np.ndarray, vectors: np.ndarray) -> None:
+        few = _without_spare_copies(ids, vectors, self.k)
+        ids, scores, vectors = ids[few], scores[few], vectors[few]
         step = max(16, _MATRIX_CELLS // max(1, len(self.u)))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
@@ -145,7 +164,7 @@ def _scores(column: pa.Array) -> np.ndarray:
 
 
 def _distinct_vectors(df: DataFrame, keep: int) -> DataFrame:
-    """One row per vector: smallest id ``u``, number of ids ``n`` and the ``keep`` smallest ids.
+    """One row per vector: its smallest id ``u`` and its ``keep`` smallest ids.
 
     The rank limit is applied before the shuffle as well, so a vector held by a large share of
     all rows sends only ``keep`` rows per task.
@@ -158,21 +177,26 @@ def _distinct_vectors(df: DataFrame, keep: int) -> DataFrame:
         .groupBy("h", "vector")
         .agg(
             F.min("id").alias("u"),
-            F.count(F.lit(1)).alias("n"),
             F.sort_array(F.collect_list(F.struct("id", "score"))).alias("members"),
         )
     )
 
 
-def _scan_join(spark, sources: pa.Table, targets: DataFrame, k1: int, single: bool) -> DataFrame:
+def _group_copies(recent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of few rows: their representative ids, and per representative its id, only id and vector."""
+    ids, vectors = recent["id"].to_numpy(), _matrix(recent["vector"], np.float32)
+    order = np.argsort(ids)
+    raw = np.ascontiguousarray(vectors[order]).view(f"V{vectors.shape[1] * 4}").ravel()
+    _, first, group, count = np.unique(raw, return_index=True, return_inverse=True, return_counts=True)
+    u = ids[order][first]
+    owner = np.empty(len(ids), np.int64)
+    owner[order] = u[group]
+    return owner, u, np.where(count == 1, u, -1), vectors[order][first]
+
+
+def _scan_join(spark, u, only_id, vectors, targets: DataFrame, k1: int, single: bool) -> DataFrame:
     """Broadcast the distinct recent vectors and stream the targets past them."""
-    shipped = spark.sparkContext.broadcast(
-        (
-            sources["u"].to_numpy(),
-            sources["only_id"].to_numpy(),
-            _matrix(sources["vector"], np.float32),
-        )
-    )
+    shipped = spark.sparkContext.broadcast((u, only_id, vectors))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, only_id, vectors = shipped.value
@@ -274,9 +298,21 @@ def _hit_arrow_schema() -> pa.Schema:
     )
 
 
-def _merge_hits(hits: DataFrame, k1: int) -> DataFrame:
+def _hit_lists(hits: DataFrame, k1: int) -> DataFrame:
+    """Per vector the ``k1`` nearest hits as a sorted array; the rank limit bounds each group."""
     ranked = Window.partitionBy("u").orderBy("distance", "neighbor_id")
-    return hits.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= k1).drop("rn")
+    hit = F.struct("distance", "neighbor_id", "neighbor_score")
+    return (
+        hits.withColumn("rn", F.row_number().over(ranked))
+        .where(F.col("rn") <= k1)
+        .groupBy("u")
+        .agg(F.sort_array(F.collect_list(hit)).alias("near"))
+    )
+
+
+def _others(near: str, k: int):
+    """The first ``k`` hits of a list that are not the source itself, as rows."""
+    return F.inline(F.slice(F.filter(near, lambda hit: hit["neighbor_id"] != F.col("source_id")), 1, k))
 
 
 def _radius_of(hits: DataFrame, k1: int) -> DataFrame:
@@ -347,28 +383,65 @@ def _cell_join(
     return near.unionByName(far)
 
 
-def _fill_null_distances(sources: DataFrame, slim: DataFrame, found: DataFrame, k: int, per_article: bool) -> DataFrame:
-    """Pairs without a distance rank after all others, by id; used only where too few remain.
+def _pairs_without_distance(sources: DataFrame, slim: DataFrame, k: int, per_article: bool) -> DataFrame:
+    """Pairs without a distance, by id; they rank after all others and matter where those are few.
 
     For a source without a vector every article is such a partner, for the others the articles
     without one. Only the ``k + 1`` smallest ids of either kind can be needed.
     """
-    smallest = lambda df, kind: df.orderBy("id").limit(k + 1).select(
-        F.lit(kind).alias("without_vector"), F.col("id").alias("neighbor_id"), F.col("score").alias("neighbor_score")
-    )
-    partners = smallest(slim, True).unionByName(smallest(slim.where("vector is null"), False))
-    needy = sources.select("id", F.col("vector").isNull().alias("without_vector"))
+
+    def partners(rows: DataFrame, without_vector: bool) -> DataFrame:
+        first = rows.orderBy("id").limit(k + 1)
+        hit = F.struct(
+            F.lit(None).cast("double").alias("distance"),
+            F.col("id").alias("neighbor_id"),
+            F.col("score").alias("neighbor_score"),
+        )
+        return first.agg(F.sort_array(F.collect_list(hit)).alias("near")).select(
+            F.lit(without_vector).alias("without_vector"), "near"
+        )
+
+    lists = partners(slim, True).unionByName(partners(slim.where("vector is null"), False))
+    needy = sources.withColumn("without_vector", F.col("vector").isNull())
     if not per_article:
         needy = (
-            needy.where("without_vector").orderBy("id").limit(k + 1)
-            .unionByName(needy.where("not without_vector").orderBy("id").limit(k + 1))
+            needy.where("without_vector").orderBy("source_id").limit(k + 1)
+            .unionByName(needy.where("not without_vector").orderBy("source_id").limit(k + 1))
         )
-    extra = (
-        needy.join(F.broadcast(partners), "without_vector")
-        .where("id <> neighbor_id")
-        .select(F.col("id").alias("source_id"), "neighbor_id", "neighbor_score", F.lit(None).cast("double").alias("distance"))
-    )
-    return found.unionByName(extra)
+    return needy.join(F.broadcast(lists), "without_vector").select(*_SOURCE, _others("near", k))
+
+
+_SOURCE = ("source_id", "source_score", "source_agent")
+
+
+def _join_owners(
+    with_vector: DataFrame, measured: DataFrame, k1: int, single: bool, pivots: int, block_rows: int
+) -> DataFrame:
+    """Cell join of the distinct vectors, and from vectors back to all articles that hold them.
+
+    A vector held by very many recent articles is a hot key on the way back. There are at most
+    ``rows / HOT_COPIES`` of those, so they are broadcast and their articles are not shuffled.
+    """
+    keyed = with_vector.withColumn("h", F.xxhash64("vector"))
+    counted = keyed.groupBy("h", "vector").agg(F.min("source_id").alias("u"), F.count(F.lit(1)).alias("n"))
+    only_id = F.when(F.col("n") == 1, F.col("u")).otherwise(F.lit(-1).cast("long"))
+    distinct = materialize(counted.withColumn("only_id", only_id), "distinct-recent")
+    hits = _cell_join(distinct, _distinct_vectors(measured, k1), k1, single, pivots, block_rows)
+    lists = materialize(_hit_lists(hits, k1), "nearest")
+
+    key = ["h", "vector"]
+    hot = distinct.where(F.col("n") > HOT_COPIES).select(*key, "u")
+    if hot.limit(1).count() == 0:
+        return keyed.join(distinct.select(*key, "u"), key).join(lists, "u")
+    hot, small = broadcast_if_small(hot)
+    if not small:
+        return keyed.join(distinct.select(*key, "u"), key).join(lists, "u")
+    hot_lists = F.broadcast(lists.join(hot.drop(*key), "u"))
+    cool = distinct.where(F.col("n") <= HOT_COPIES).select(*key, "u")
+    columns = [*_SOURCE, "near"]
+    copied = keyed.join(hot, key).join(hot_lists, "u").select(*columns)
+    others = keyed.join(hot.drop("u"), key, "left_anti").join(cool, key).join(lists, "u").select(*columns)
+    return copied.unionByName(others)
 
 
 def nearest_neighbors(
@@ -393,56 +466,42 @@ def nearest_neighbors(
     slim = articles.select(
         "id", F.col("score").cast("int").alias("score"), "agent", "created_at", F.col(vector).cast("array<float>").alias("vector")
     )
-    recent = slim.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"interval {int(recent_days)} days"))
-    sources = recent.select("id", "score", "agent", "vector")
+    sources = slim.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"interval {int(recent_days)} days")).select(
+        F.col("id").alias("source_id"), F.col("score").alias("source_score"), F.col("agent").alias("source_agent"), "vector"
+    )
     measured = slim.where("vector is not null").select("id", "score", "vector")
     with_vector = sources.where("vector is not null")
 
     k1 = k + 1
-    distinct = _distinct_vectors(with_vector.select("id", "score", "vector"), 2).select(
-        "h", "u", "vector", F.when(F.col("n") == 1, F.col("u")).otherwise(F.lit(-1).cast("long")).alias("only_id")
-    )
     shape = with_vector.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if shape["n"] and shape["n"] * shape["d"] * 8 <= broadcast_bytes:
-        hits = _scan_join(spark, distinct.drop("h").toArrow(), measured, k1, single=not per_article)
-    elif shape["n"]:
-        hits = _cell_join(distinct, _distinct_vectors(measured, k1), k1, not per_article, pivots, block_rows)
+    n = shape["n"]
+    if n == 0:
+        found = None
+    elif n <= BROADCAST_VECTOR_ROWS and n * shape["d"] * 8 <= broadcast_bytes:
+        rows = with_vector.withColumnRenamed("source_id", "id").toArrow()
+        owner, *distinct = _group_copies(rows)
+        hits = _scan_join(spark, *distinct, measured, k1, single=not per_article)
+        named = rows.drop_columns("vector").rename_columns(list(_SOURCE)).append_column("u", pa.array(owner))
+        owners = F.broadcast(spark.createDataFrame(named))
+        found = _hit_lists(hits, k1).join(owners, "u")
     else:
-        hits = spark.createDataFrame([], _HIT_SCHEMA)
-
-    # Back from vectors to articles. A vector shared by many recent articles is a hot key here:
-    # its few hits are copied to `salts` buckets and the articles spread over them.
-    salts = 16
-    hits = _merge_hits(hits, k1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    owners = (
-        with_vector.select("id", "vector")
-        .withColumn("h", F.xxhash64("vector"))
-        .join(distinct.select("h", F.col("vector"), "u"), ["h", "vector"])
-        .select(F.col("id").alias("source_id"), "u", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    )
-    found = (
-        owners.join(hits, ["u", "salt"])
-        .where("source_id <> neighbor_id")
-        .select("source_id", "neighbor_id", "neighbor_score", "distance")
-    )
+        found = _join_owners(with_vector, measured, k1, not per_article, pivots, block_rows)
+    if found is None:
+        found = spark.createDataFrame([], _PAIR_SCHEMA)
+    else:
+        found = found.select(*_SOURCE, _others("near", k))
 
     if keep_missing:
-        plenty = measured.limit(k1).count() == k1
-        if per_article or not plenty or shape["n"] == 0:
-            short = sources if not plenty else sources.where("vector is null")
-            found = _fill_null_distances(short, slim, found, k, per_article)
-    ranking = [F.col("distance").asc_nulls_last(), F.col("source_id"), F.col("neighbor_id")]
-    if per_article:
-        ranked = Window.partitionBy("source_id").orderBy(ranking[0], ranking[2])
-        best = found.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= k).drop("rn")
-    else:
-        best = found.orderBy(*ranking).limit(k)
-    who = sources.select(
-        F.col("id").alias("source_id"), F.col("score").alias("source_score"), F.col("agent").alias("source_agent")
-    )
-    return best.join(who, "source_id").select(
-        "source_id", "source_score", "source_agent", "neighbor_id", "neighbor_score", "distance"
-    )
+        plenty = n > k or measured.limit(k1).count() > k
+        if per_article or not plenty or n == 0:
+            short = sources.where("vector is null") if plenty and n else sources
+            found = found.unionByName(_pairs_without_distance(short, slim, k, per_article))
+            if per_article and not plenty:
+                ranked = Window.partitionBy("source_id").orderBy(F.col("distance").asc_nulls_last(), "neighbor_id")
+                found = found.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= k).drop("rn")
+    if not per_article:
+        found = found.orderBy(F.col("distance").asc_nulls_last(), "source_id", "neighbor_id").limit(k)
+    return found.select(*_SOURCE, "neighbor_id", "neighbor_score", "distance")
 
 
 def neighbor_scores(pairs: DataFrame, user_agent: str = "user") -> DataFrame:

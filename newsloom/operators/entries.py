@@ -15,6 +15,7 @@ from newsloom.functions.dates import parse_published
 from newsloom.functions.html import html_to_text, paragraphs_to_text
 from newsloom.functions.text import strip_query
 from newsloom.schema import conform_entries
+from newsloom.session import broadcast_if_small
 
 # Fixed value: entries older than this many days are skipped.
 MAX_AGE_DAYS = 5
@@ -117,6 +118,7 @@ def normalize_entries(
         author.cast("string").alias("author"),
         F.col("feed_publication").alias("publication"),
         F.coalesce(parse_published(F.col("published")), "published_parsed").alias("published_at"),
+        F.col("published_parsed").isNotNull().alias("has_date"),
         reject.alias("reject_reason"),
     )
 
@@ -139,7 +141,7 @@ def clean_summaries(entries: DataFrame) -> DataFrame:
 def feeds_with_undated(normalized: DataFrame) -> DataFrame:
     """Per feed the position of its first entry without a date."""
     return (
-        normalized.where(F.col("reject_reason") == NO_DATE)
+        normalized.where(~F.col("has_date"))
         .groupBy("pub_ord", "url_ord")
         .agg(F.min("entry_ord").alias("first_undated"))
     )
@@ -153,14 +155,14 @@ def collect_entries(normalized: DataFrame, drop_feed_on_bad_date: bool = False)
     """
     accepted = normalized.where("reject_reason is null")
     if drop_feed_on_bad_date:
-        undated = feeds_with_undated(normalized)
+        undated, _ = broadcast_if_small(feeds_with_undated(normalized))
         accepted = accepted.join(undated, ["pub_ord", "url_ord"], "left").where(
             "first_undated is null or entry_ord < first_undated"
         )
         kept = first_seen(accepted).where("first_undated is null").drop("first_undated")
     else:
         kept = first_seen(accepted)
-    return clean_summaries(kept).where("summary is not null").drop("reject_reason")
+    return clean_summaries(kept).where("summary is not null").drop("reject_reason", "has_date")
 
 
 def split_by_publication(entries: DataFrame, publication: str) -> tuple[DataFrame, DataFrame]:

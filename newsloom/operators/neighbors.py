@@ -98,6 +98,8 @@ class _Best:
         return float(np.partition(found, wanted - 1)[wanted - 1]) if found.size >= wanted else np.inf
 
     def add(self, ids: np.ndarray, scores: np.ndarray, vectors: np.ndarray) -> None:
+        if vectors.shape[1] != self.vectors.shape[1]:
+            raise ValueError("vectors of different lengths cannot be compared")
         few = _without_spare_copies(ids, vectors, self.k)
         ids, scores, vectors = ids[few], scores[few], vectors[few]
         step = max(16, _MATRIX_CELLS // max(1, len(self.u)))

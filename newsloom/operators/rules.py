@@ -3,8 +3,9 @@
 ``tags`` has tag_id, name and score; a negative score marks a disliked tag, a positive one a
 liked tag, and ``tag_id`` is the order in which tags are tried on texts.
 
-A short tag table becomes literals of the plan. A long one is joined to the articles' own tags,
-and its names are looked for in the texts by a multi-pattern automaton, block by block.
+A short tag table becomes literals of the plan. Names of a longer one are looked for in the
+texts by a multi-pattern automaton, block by block, and a very long one is joined to the
+articles' own tags by name.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from newsloom.functions.text import title_case
 from newsloom.operators.selection import rescorable, unprocessed
 from newsloom.session import broadcast_if_small
 
-# Tag tables up to this many rows are written into the plan as literals.
-LITERAL_TAGS = 48
+# Up to this many tags are written into the plan: as a hash set for the articles' own tags, as a
+# chain of tests for texts.
+LITERAL_OWN_TAGS = 2000
+LITERAL_TEXT_TAGS = 48
 # Names per automaton; a longer table takes several passes.
 AUTOMATON_TAGS = 50_000
 
@@ -52,10 +55,10 @@ def _polar(tags: DataFrame) -> DataFrame:
     return tags.where("score <> 0 and name <> ''").select("tag_id", "name", (F.col("score") < 0).alias("bad"))
 
 
-def _literals(tags: DataFrame) -> tuple[list[str], list[str]] | None:
-    """Disliked and liked names in tag order, or None when the table is too long."""
-    rows = _polar(tags).orderBy("tag_id", "name").limit(LITERAL_TAGS + 1).collect()
-    if len(rows) > LITERAL_TAGS:
+def _literals(tags: DataFrame, most: int) -> tuple[list[str], list[str]] | None:
+    """Disliked and liked names in tag order, or None when there are more than ``most``."""
+    rows = _polar(tags).orderBy("tag_id", "name").limit(most + 1).collect()
+    if len(rows) > most:
         return None
     return [r["name"] for r in rows if r["bad"]], [r["name"] for r in rows if not r["bad"]]
 
@@ -67,28 +70,27 @@ def _last_own_tag(own: Column, names: list[str], but_not: list[str] = ()) -> Col
     return F.try_element_at(F.filter(own, lambda t: t.isin(*names)), F.lit(-1))
 
 
+def _own_hits(articles: DataFrame, tags: DataFrame) -> DataFrame:
+    """``articles`` with neg and pos, the last disliked and the last liked of their own tags."""
+    names = _literals(tags, LITERAL_OWN_TAGS)
+    if names is not None:
+        bad, good = names
+        own = F.col("tags")
+        return articles.select("*", _last_own_tag(own, bad).alias("neg"), _last_own_tag(own, good, bad).alias("pos"))
+    polarity = _polar(tags).groupBy("name").agg(F.bool_or("bad").alias("bad"))
+    polarity, _ = broadcast_if_small(polarity)
+    hits = articles.select("id", F.posexplode("tags").alias("place", "name")).join(polarity, "name")
+    at = lambda bad: F.when(F.col("bad") == bad, F.col("place"))
+    last = hits.groupBy("id").agg(F.max_by("name", at(True)).alias("neg"), F.max_by("name", at(False)).alias("pos"))
+    return articles.join(last, "id", "left")
+
+
 def mark_by_tags(articles: DataFrame, tags: DataFrame) -> DataFrame:
     """(id, score, reason) from the articles' own tags.
 
     The last matching tag of each polarity counts; a name on both sides counts as disliked.
     """
-    names = _literals(tags)
-    if names is not None:
-        bad, good = names
-        own = F.col("tags")
-        found = articles.select("id", _last_own_tag(own, bad).alias("neg"), _last_own_tag(own, good, bad).alias("pos"))
-    else:
-        polarity = _polar(tags).groupBy("name").agg(F.bool_or("bad").alias("bad"))
-        polarity, _ = broadcast_if_small(polarity)
-        hits = articles.select("id", F.posexplode("tags").alias("pos_no", "name")).join(polarity, "name")
-        at = lambda bad: F.when(F.col("bad") == bad, F.col("pos_no"))
-        found = articles.select("id").join(
-            hits.groupBy("id").agg(
-                F.max_by("name", at(True)).alias("neg"), F.max_by("name", at(False)).alias("pos")
-            ),
-            "id",
-            "left",
-        )
+    found = _own_hits(articles.select("id", "tags"), tags)
     return found.select("id", *[c.alias(k) for k, c in _mark(F.col("neg"), F.col("pos"), TAG_SCORE).items()])
 
 
@@ -133,9 +135,15 @@ def _automaton_hits(names: list[tuple[str, bool]]):
     return first_hits.asNondeterministic()
 
 
-def _first_by_automaton(texts: DataFrame, tags: DataFrame) -> DataFrame:
-    """Columns neg and pos for a long tag table, one pass per block of names."""
-    polar = _polar(tags).select("tag_id", "name", "bad")
+def _text_hits(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """``texts`` with neg and pos, the first disliked and the first liked tag in column ``text``."""
+    names = _literals(tags, LITERAL_TEXT_TAGS)
+    if names is not None:
+        bad, good = names
+        texts = texts.withColumn("text", title_case(F.col("text")))
+        text = F.col("text")
+        return texts.select("*", _first_in_text(text, bad).alias("neg"), _first_in_text(text, good).alias("pos"))
+    polar = _polar(tags)
     none = F.lit(None).cast("string")
     texts = texts.withColumns({"neg": none, "pos": none})
     block = polar
@@ -148,29 +156,18 @@ def _first_by_automaton(texts: DataFrame, tags: DataFrame) -> DataFrame:
         ).drop("hit")
         if len(rows) < AUTOMATON_TAGS:
             break
-        last = rows[-1]
-        block = polar.where(
-            F.struct("tag_id", "name", "bad")
-            > F.struct(F.lit(last["tag_id"]), F.lit(last["name"]), F.lit(last["bad"]))
-        )
+        last = F.struct(*[F.lit(rows[-1][f.name]).cast(f.dataType).alias(f.name) for f in polar.schema.fields])
+        block = polar.where(F.struct(*polar.columns) > last)
     return texts
 
 
 def mark_by_text(articles: DataFrame, tags: DataFrame) -> DataFrame:
     """(id, score, reason) from tags contained in title and summary, both in title case.
 
-    The first tag in ``tag_id`` order of each polarity counts. Tags that are not in title case
-    cannot match.
+    The first tag in ``tag_id`` order of each polarity counts. A lower-case tag matches only
+    inside a word, one with several capitals in a row not at all.
     """
-    texts = articles.select("id", search_text(F.col("title"), F.col("summary")).alias("text"))
-    names = _literals(tags)
-    if names is not None:
-        bad, good = names
-        texts = texts.select("id", title_case(F.col("text")).alias("text"))
-        text = F.col("text")
-        found = texts.select("id", _first_in_text(text, bad).alias("neg"), _first_in_text(text, good).alias("pos"))
-    else:
-        found = _first_by_automaton(texts, tags)
+    found = _text_hits(articles.select("id", search_text(F.col("title"), F.col("summary")).alias("text")), tags)
     return found.select("id", *[c.alias(k) for k, c in _mark(F.col("neg"), F.col("pos"), TITLE_SCORE).items()])
 
 
@@ -184,33 +181,17 @@ def guard_user_rows(articles: DataFrame) -> DataFrame:
 def run_rules(articles: DataFrame, tags: DataFrame, rescore: bool = False) -> DataFrame:
     """One (id, agent, score, reason) row per selected article: own tags, then text, then none."""
     selected = guard_user_rows(rescorable(articles) if rescore else unprocessed(articles))
-    selected = selected.select("id", "title", "summary", "tags")
-    names = _literals(tags)
-    if names is not None:
-        # everything in one projection, without a shuffle
-        bad, good = names
-        own = F.col("tags")
-        marked = selected.select(
-            "id", "title", "summary", _last_own_tag(own, bad).alias("neg"), _last_own_tag(own, good, bad).alias("pos")
-        )
-        by_tag = _mark(F.col("neg"), F.col("pos"), TAG_SCORE)
-        marked = marked.select("id", "title", "summary", by_tag["score"].alias("ts"), by_tag["reason"].alias("tr"))
-        # texts are only read where the tags decided nothing
-        text = F.when(F.col("ts") == 0, search_text(F.col("title"), F.col("summary")))
-        marked = marked.select("id", "ts", "tr", title_case(text).alias("text"))
-        found = F.col("text")
-        marked = marked.select(
-            "id", "ts", "tr", _first_in_text(found, bad).alias("neg"), _first_in_text(found, good).alias("pos")
-        )
-        by_text = _mark(F.col("neg"), F.col("pos"), TITLE_SCORE)
-        marked = marked.select("id", "ts", "tr", by_text["score"].alias("xs"), by_text["reason"].alias("xr"))
-    else:
-        own = mark_by_tags(selected, tags).toDF("id", "ts", "tr")
-        text = mark_by_text(selected, tags).toDF("id", "xs", "xr")
-        marked = own.join(text, "id")
-    return marked.select(
+    own = _own_hits(selected.select("id", "title", "summary", "tags"), tags)
+    by_tag = _mark(F.col("neg"), F.col("pos"), TAG_SCORE)
+    own = own.select("id", "title", "summary", by_tag["score"].alias("own_score"), by_tag["reason"].alias("own_reason"))
+    # texts are only searched where the tags decided nothing
+    undecided = F.when(F.col("own_score") == 0, search_text(F.col("title"), F.col("summary")))
+    found = _text_hits(own.select("id", "own_score", "own_reason", undecided.alias("text")), tags)
+    by_text = _mark(F.col("neg"), F.col("pos"), TITLE_SCORE)
+    tagged = F.col("own_score") != 0
+    return found.select(
         "id",
-        F.when(F.col("ts") != 0, BY_TAG).when(F.col("xs") != 0, BY_TITLE).otherwise(BY_NONE).alias("agent"),
-        F.when(F.col("ts") != 0, F.col("ts")).otherwise(F.col("xs")).alias("score"),
-        F.when(F.col("ts") != 0, F.col("tr")).otherwise(F.col("xr")).alias("reason"),
+        F.when(tagged, BY_TAG).when(by_text["score"] != 0, BY_TITLE).otherwise(BY_NONE).alias("agent"),
+        F.when(tagged, F.col("own_score")).otherwise(by_text["score"]).alias("score"),
+        F.when(tagged, F.col("own_reason")).otherwise(by_text["reason"]).alias("reason"),
     )

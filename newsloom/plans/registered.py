@@ -69,19 +69,19 @@ def distance(name: str = "distance") -> Column:
 @query
 def neighbor_pairs_global(spark, sf):
     pairs = nearest_neighbors(dv.articles(spark, sf), AS_OF)
-    return pairs.select("source_id", "neighbor_id", F.col("neighbor_score").cast("long"), distance())
+    return pairs.select("source_id", "neighbor_id", "neighbor_score", distance())
 
 
 @query
 def neighbor_pairs_per_article(spark, sf):
     pairs = nearest_neighbors(dv.articles(spark, sf), AS_OF, per_article=True)
-    return pairs.select("source_id", "neighbor_id", F.col("neighbor_score").cast("long"), distance())
+    return pairs.select("source_id", "neighbor_id", "neighbor_score", distance())
 
 
 @query
 def neighbor_pairs_with_vectors(spark, sf):
     pairs = nearest_neighbors(dv.articles(spark, sf), AS_OF, per_article=True, keep_missing=False)
-    return pairs.select("source_id", "neighbor_id", F.col("neighbor_score").cast("long"), distance())
+    return pairs.select("source_id", "neighbor_id", "neighbor_score", distance())
 
 
 @query
@@ -90,20 +90,20 @@ def neighbor_pairs_by_cells(spark, sf):
     pairs = nearest_neighbors(
         dv.articles(spark, sf), AS_OF, per_article=True, keep_missing=False, broadcast_bytes=0, pivots=4
     )
-    return pairs.select("source_id", "neighbor_id", F.col("neighbor_score").cast("long"), distance())
+    return pairs.select("source_id", "neighbor_id", "neighbor_score", distance())
 
 
 @query
 def neighbor_scores_per_article(spark, sf):
     pairs = nearest_neighbors(dv.articles(spark, sf), AS_OF, per_article=True)
     return neighbor_scores(pairs).select(
-        "source_id", F.col("source_score").cast("long"), F.round("calculated_score", 6).alias("calculated_score")
+        "source_id", "source_score", F.round("calculated_score", 6).alias("calculated_score")
     )
 
 
 def _ranked(df):
     return df.select(
-        "id", "title", "publication", "agent", F.col("score").cast("long"), F.round("neighbor_score", 6).alias("neighbor_score")
+        "id", "title", "publication", "agent", "score", F.round("neighbor_score", 6).alias("neighbor_score")
     )
 
 
@@ -165,7 +165,7 @@ def unprocessed_articles(spark, sf):
 
 @query
 def rescorable_articles(spark, sf):
-    return sel.rescorable(dv.articles(spark, sf)).select("id", "agent", F.col("score").cast("long"))
+    return sel.rescorable(dv.articles(spark, sf)).select("id", "agent", "score")
 
 
 @query
@@ -175,7 +175,7 @@ def classified_without_embedding(spark, sf):
 
 @query
 def training_set(spark, sf):
-    return sel.training_set(dv.articles(spark, sf)).select("id", F.col("score").cast("long"), F.size("embedding2").cast("long").alias("dims"))
+    return sel.training_set(dv.articles(spark, sf)).select("id", "score", F.size("embedding2").cast("long").alias("dims"))
 
 
 @query
@@ -188,7 +188,7 @@ def embedding_dry_run(spark, sf):
 @query
 def update_records(spark, sf):
     return sel.update_records(dv.articles(spark, sf)).select(
-        "id", "agent", F.col("score").cast("long"), F.col("ai_score").cast("long")
+        "id", "agent", "score", F.col("ai_score").cast("long")
     )
 
 
@@ -280,7 +280,7 @@ def paragraph_texts(spark, sf):
 @query
 def publication_feeds(spark, sf):
     found = publications.publication_feeds(dv.publications(spark, sf))
-    return found.select("feed_publication", F.col("url_ord").cast("long"), "feed_url")
+    return found.select("feed_publication", "url_ord", "feed_url")
 
 
 @query
@@ -331,7 +331,7 @@ def collected_html_entries(spark, sf):
 
 
 def _undated(spark, sf):
-    date = F.when(F.col("entry_ord") % 41 != 17, F.col("published_parsed"))
+    date = F.when((F.col("url_ord") == 0) | (F.col("entry_ord") % 41 != 17), F.col("published_parsed"))
     return dv.entries(spark, sf).withColumn("published_parsed", date)
 
 
@@ -401,7 +401,7 @@ def streamed_entries(spark, sf):
 
 
 def _marks(df):
-    return df.select("id", F.col("score").cast("long"), "reason")
+    return df.select("id", "score", "reason")
 
 
 @query
@@ -430,7 +430,7 @@ def text_marks_many_tags(spark, sf):
 
 
 def _results(df):
-    return df.select("id", "agent", F.col("score").cast("long"), "reason")
+    return df.select("id", "agent", "score", "reason")
 
 
 @query
@@ -464,7 +464,7 @@ def _payloads(spark, sf):
 @query
 def payload_rows(spark, sf):
     rows = payloads.typed_updates(payloads.explode_payloads(_payloads(spark, sf)))
-    return rows.select("batch_ord", F.col("pos").cast("long"), "id", "agent", F.col("score").cast("long"), "reason")
+    return rows.select("batch_ord", "pos", "id", "agent", F.col("score").cast("long"), "reason")
 
 
 @query
@@ -480,8 +480,8 @@ def _stored_entries(spark, sf):
 
 
 def _articles_from_entries(spark, sf):
-    """A table that holds the links of every second page already."""
-    links = dv.entries(spark, sf).where("entry_ord % 2 = 0").groupBy("link").agg(F.min("entry_ord").alias("id"))
+    """A table that holds the links of two publications already."""
+    links = dv.entries(spark, sf).where("feed_publication in ('HackerNews', 'Guardian')").groupBy("link").agg(F.min("entry_ord").alias("id"))
     known = links.select("id", "link", F.lit("old title").alias("title"), F.lit("old summary").alias("summary"),
                          F.lit("AI").alias("agent"))
     return materialize(conform(known, ARTICLE), "articles")
@@ -525,7 +525,7 @@ def records_saved(spark, sf):
     new = table(spark, sf, "labels").selectExpr("doc_id AS id", "CASE WHEN toxic = 1 THEN 'AI' END AS agent",
                                                 "quality AS score", "toxic AS ai_score")
     got = merges.save_records(a, new)
-    return got.select("id", "agent", F.col("score").cast("long"), F.col("ai_score").cast("long"))
+    return got.select("id", "agent", "score", "ai_score")
 
 
 @query
@@ -536,7 +536,7 @@ def versioned_table(spark, sf):
     current = tables.read_version(spark, base)
     results = materialize(rules.run_rules(current, dv.tags(spark)), "rule-results")
     tables.write_version(merges.apply_rule_results(current, results, AS_OF), base)
-    return tables.read_version(spark, base).select("id", "agent", F.col("score").cast("long"), "reason")
+    return tables.read_version(spark, base).select("id", "agent", "score", "reason")
 
 
 @query
@@ -550,7 +550,7 @@ def partitioned_table(spark, sf):
                                                                 F.col("publication").alias("reason")), "updates")
     merged = merges.apply_rule_results(tables.touched_rows(current, new, "publication"), new, AS_OF)
     tables.replace_partitions(merged, path, ["publication"])
-    return tables.read_articles(spark, path).select("id", "agent", F.col("score").cast("long"), "reason")
+    return tables.read_articles(spark, path).select("id", "agent", "score", "reason")
 
 
 # --- model replies ----------------------------------------------------------------------------
@@ -598,23 +598,23 @@ def _scored(spark, sf):
     return inference.apply_results(answered.withColumn("result", parse_reply(F.col("reply")).cast(TAGGING_RESULT)))
 
 
-def _score_columns(df):
-    return df.select(
+def _score_list() -> list:
+    return [
         "id", "agent", F.col("score").cast("long"), F.col("ai_score2").cast("long"),
         joined("tags_scope"), joined("tags_topic"), joined("tags_mood"),
-    )
+    ]
 
 
 @query
 def scored_articles(spark, sf):
-    got = _scored(spark, sf)
-    status = F.concat_ws(":", F.slice(F.split("scoring_status", ":"), 1, 2)).alias("status")
-    return _score_columns(got.select("*", status)).join(got.select("id", status), "id")
+    status = F.substring_index("scoring_status", ":", 2).alias("status")
+    return _scored(spark, sf).select(*_score_list(), status)
 
 
 @query
 def scores_saved(spark, sf):
-    return _score_columns(merges.save_scores(dv.articles(spark, sf), materialize(_scored(spark, sf), "scored")))
+    scored = materialize(_scored(spark, sf).select("id", *merges.SCORE_COLUMNS), "scored")
+    return merges.save_scores(dv.articles(spark, sf), scored).select(*_score_list())
 
 
 @query
@@ -667,7 +667,7 @@ def _embed(texts):
 
 @query
 def embedded_articles(spark, sf):
-    todo = sel.prepare_for_models(dv.articles(spark, sf).where("embedding2 is null"))
+    todo = sel.prepare_for_models(dv.articles(spark, sf).where("embedding2 is null")).select("id", "combined", "embedding2")
     got = inference.embed_articles(todo, _embed, batch_size=64)
     part = lambda i, name: F.get("embedding2", F.lit(i)).cast("long").alias(name)
     return got.select("id", part(0, "length"), part(1, "blanks"), part(2, "es"))
@@ -682,6 +682,6 @@ def _complete(prompt):
 
 @query
 def articles_scored_by_model(spark, sf):
-    todo = sel.prepare_for_models(dv.articles(spark, sf))
+    todo = sel.prepare_for_models(dv.articles(spark, sf)).select("id", "agent", "score", "combined", *sel.SCORE_COLUMNS)
     got = inference.tag_and_score(todo, _complete, _taxonomy(spark, sf), PROFILE, PROMPT)
-    return _score_columns(got.withColumn("id", F.col("id"))).join(got.select("id", "scoring_status"), "id")
+    return got.select(*_score_list(), "scoring_status")

@@ -229,7 +229,7 @@ ORACLE["collected_html_entries"] = (
     "FROM collected c JOIN paragraph p ON p.page_id = c.entry_ord"
 )
 _UNDATED_NORMAL = _NORMAL.replace(
-    "CASE WHEN published_parsed <", "CASE WHEN entry_ord % 41 = 17 THEN 'no_date' WHEN published_parsed <"
+    "CASE WHEN published_parsed <", "CASE WHEN url_ord > 0 AND entry_ord % 41 = 17 THEN 'no_date' WHEN published_parsed <"
 )
 ORACLE["collected_dropping_feeds"] = (
     sql_with("entry") + _UNDATED_NORMAL + """, undated AS (SELECT pub_ord, url_ord, min(entry_ord) AS stop FROM normal
@@ -324,11 +324,11 @@ ORACLE["payloads_applied"] = (
       QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch_ord DESC, pos DESC) = 1)
     SELECT a.id, a.title, l.agent, l.score, l.reason, {_time(AS_OF_SQL, 'updated_at')} FROM article a JOIN last l ON a.id = l.id"""
 )
-_KNOWN = _N + ", known AS (SELECT DISTINCT link FROM entry WHERE entry_ord % 2 = 0) "
+_KNOWN = _N + ", known AS (SELECT DISTINCT link FROM entry WHERE feed_publication IN ('HackerNews', 'Guardian')) "
 _NEW = "FROM collected WHERE link NOT IN (SELECT link FROM known)"
 ORACLE["absent_entries"] = _KNOWN + f"SELECT link, title, summary {_NEW}"
 ORACLE["inserted_articles"] = (
-    _KNOWN + f"SELECT link, title, {_time(AS_OF_SQL, 'created_at')}, 1 AS rows_with_id {_NEW}"
+    _KNOWN + f"SELECT link, title, {_time(AS_OF_SQL, 'created_at')}, CAST(1 AS BIGINT) AS rows_with_id {_NEW}"
 )
 
 
@@ -390,7 +390,8 @@ ORACLE["scoring_counts"] = (
 ORACLE["mean_event_seconds"] = "SELECT round(avg(value), 4) AS mean_seconds FROM events"
 ORACLE["embedding_counts"] = _A + "SELECT count(embedding2) AS embedded, count(*) AS total FROM article"
 ORACLE["filled_counts"] = (
-    _A + """SELECT count(embedding2) AS embedding2, 0 AS ai_score2, 0 AS tags_topic, 0 AS tags_mood, 0 AS tags_scope FROM article"""
+    _A + """SELECT count(embedding2) AS embedding2, CAST(0 AS BIGINT) AS ai_score2, CAST(0 AS BIGINT) AS tags_topic,
+      CAST(0 AS BIGINT) AS tags_mood, CAST(0 AS BIGINT) AS tags_scope FROM article"""
 )
 
 _TAXONOMY = """taxonomy AS (SELECT concat('scope:', chr(10),

@@ -103,7 +103,12 @@ def read_feed_files(spark: SparkSession, root: str, feeds: DataFrame) -> DataFra
     return conform_entries(attach_feeds(rows, feeds))
 
 
-def stream_rss(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """Newly landed RSS items as a stream; :func:`number_rows` is left to each micro-batch."""
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    return _rows(reader, root, "item", RSS_ITEM).select(*rss_to_entry(), _split())
+def stream_feed_files(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
+    """Newly landed RSS items and Atom entries; :func:`number_rows` is left to each micro-batch."""
+
+    def reader():
+        return spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+
+    rss = _rows(reader(), root, "item", RSS_ITEM).select(*rss_to_entry(), _split())
+    atom = _rows(reader(), root, "entry", ATOM_ENTRY).select(*atom_to_entry(), _split())
+    return rss.unionByName(atom, allowMissingColumns=True)

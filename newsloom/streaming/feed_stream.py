@@ -12,7 +12,7 @@ from newsloom.operators.entries import collect_entries, normalize_entries
 from newsloom.operators.merges import insert_absent
 from newsloom.schema import ARTICLE
 from newsloom.session import materialize
-from newsloom.sources.feeds import attach_feeds, number_rows, stream_rss
+from newsloom.sources.feeds import attach_feeds, number_rows, stream_feed_files
 from newsloom.sources.tables import _file_system, append_rows
 
 
@@ -46,7 +46,7 @@ def start_ingest(
 ) -> StreamingQuery:
     """Start a run over everything that has landed since the last one."""
     return (
-        stream_rss(spark, root, files_per_batch)
+        stream_feed_files(spark, root, files_per_batch)
         .writeStream.foreachBatch(lambda batch, _id: ingest_batch(batch, feeds, table, as_of))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

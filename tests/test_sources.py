@@ -89,13 +89,15 @@ def test_stream_equals_batch_and_runs_again(spark, config):
     batch = ingest.collect(feeds.read_feed_files(spark, root, known), AS_OF)
     columns = ["link", "title", "summary", "author", "publication", "published_at"]
     assert sorted(values(spark.read.schema(ARTICLE).parquet(table), *columns)) == sorted(values(batch, *columns))
-    land(spark, root, [("u2", "b", items(("E", 4), ("A2", 1)))])
+    land(spark, root, [("u2", "b", items(("E", 4), ("A2", 1))), ("u4", "b", ATOM)])
     start_ingest(spark, root, known, table, state, AS_OF).awaitTermination()
     # the same files under a new checkpoint: everything is known already
     start_ingest(spark, root, known, table, scratch_path(spark, "state"), AS_OF).awaitTermination()
     got = sorted(values(spark.read.schema(ARTICLE).parquet(table), "link", "title", "id"))
-    assert [g[:2] for g in got] == [(f"https://e.org/{i}", t) for i, t in ((1, "A"), (2, "B"), (3, "D"), (4, "E"))]
-    assert len({g[2] for g in got}) == 4
+    assert [g[:2] for g in got] == [(f"https://e.org/{i}", t) for i, t in ((1, "A"), (2, "B"), (3, "D"), (4, "E"))] + [
+        ("https://e.org/atom", "Atom &amp; x")
+    ]
+    assert len({g[2] for g in got}) == 5
 
 
 def test_enrichment_end_to_end(spark, sf_dir):

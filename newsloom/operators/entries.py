@@ -15,7 +15,7 @@ from newsloom.functions.dates import parse_published
 from newsloom.functions.html import html_to_text, paragraphs_to_text
 from newsloom.functions.text import strip_query
 from newsloom.schema import conform_entries
-from newsloom.session import broadcast_if_small
+from newsloom.session import broadcast_if_small, materialize
 
 # Fixed value: entries older than this many days are skipped.
 MAX_AGE_DAYS = 5
@@ -155,7 +155,7 @@ def collect_entries(normalized: DataFrame, drop_feed_on_bad_date: bool = False)
     """
     accepted = normalized.where("reject_reason is null")
     if drop_feed_on_bad_date:
-        undated, _ = broadcast_if_small(feeds_with_undated(normalized))
+        undated, _ = broadcast_if_small(materialize(feeds_with_undated(normalized), "undated-feeds"))
         accepted = accepted.join(undated, ["pub_ord", "url_ord"], "left").where(
             "first_undated is null or entry_ord < first_undated"
         )

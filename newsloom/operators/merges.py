@@ -98,7 +98,8 @@ def absent_by_link(articles: DataFrame, entries: DataFrame) -> DataFrame:
     links, small = broadcast_if_small(new.select("link"))
     known = articles.select("link")
     if small:
-        known = F.broadcast(known.join(links, "link", "left_semi"))
+        # stored, because a scan of the whole table may outlast the time limit of a broadcast
+        known = F.broadcast(materialize(known.join(links, "link", "left_semi"), "known-links"))
     return new.join(known, "link", "left_anti")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A join side is broadcast only when one aggregate pass has shown it to be below both bounds.
 BROADCAST_MAX_ROWS = 200_000
@@ -51,9 +52,26 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _width(col: Column, kind: T.DataType) -> Column:
+    """Approximate bytes of a value, from lengths alone."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(col)
+    elif isinstance(kind, T.StructType):
+        size = sum((_width(col[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        size = F.octet_length(F.array_join(col, "")) + F.size(col) * 8
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.size(col) * 8
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        size = F.octet_length(F.to_json(col))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
 def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows and approximate serialized bytes, by one partially aggregated pass."""
-    row_bytes = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    """Rows and approximate bytes, by one partially aggregated pass."""
+    row_bytes = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("b")).first()
     return int(row["n"]), int(row["b"] or 0)
 

@@ -228,7 +228,8 @@ def _pivot_gaps(pivots: np.ndarray):
             out[:, j] = np.sqrt(((v - pivot) ** 2).sum(axis=1))
         return pd.Series(list(out))
 
-    return gaps
+    # computed once, also for the cell that is derived from it
+    return gaps.asNondeterministic()
 
 
 def _own_cell(gaps: str = "gaps"):
@@ -328,21 +329,19 @@ def _radius_of(hits: DataFrame, k1: int) -> DataFrame:
     )
 
 
-def _cell_join(
-    sources: DataFrame, targets: DataFrame, k1: int, single: bool, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Both sides large: own cells first, then every other cell that may hold a nearer vector."""
-    pivot_rows = targets.orderBy("h", "u").limit(pivots).select("vector").toArrow()
-    pivot = _matrix(pivot_rows["vector"])
-    gaps = _pivot_gaps(pivot)
-    s = materialize(
-        sources.withColumn("gaps", gaps("vector")).withColumn("cell", _own_cell()), "recent-vectors"
-    )
-    t = materialize(
-        targets.select("u", "vector", "members").withColumn("gaps", gaps("vector")).withColumn("cell", _own_cell()),
-        "all-vectors",
-    )
+def _pivots(measured: DataFrame, count: int) -> np.ndarray:
+    """Up to ``count`` different vectors, spread at random by their hash."""
+    hashed = measured.select(F.xxhash64("vector").alias("h"), "vector")
+    # only hashes are shuffled; both results have at most ``count`` rows
+    lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(count).collect()]
+    return _matrix(hashed.where(F.col("h").isin(lowest)).dropDuplicates(["h"]).orderBy("h").select("vector").toArrow()["vector"])
+
 
+def _cell_join(s: DataFrame, t: DataFrame, pivot: np.ndarray, k1: int, single: bool, block_rows: int) -> DataFrame:
+    """Both sides large: own cells first, then every other cell that may hold a nearer vector.
+
+    ``s`` and ``t`` are stored, with the distances ``gaps`` to the pivots and their own ``cell``.
+    """
     near = materialize(
         _block_join(
             s.withColumn("radius", F.lit(float("inf"))), t.select("cell", "u", "members", "vector"), k1, block_rows, single
@@ -427,8 +426,15 @@ def _join_owners(
     keyed = with_vector.withColumn("h", F.xxhash64("vector"))
     counted = keyed.groupBy("h", "vector").agg(F.min("source_id").alias("u"), F.count(F.lit(1)).alias("n"))
     only_id = F.when(F.col("n") == 1, F.col("u")).otherwise(F.lit(-1).cast("long"))
-    distinct = materialize(counted.withColumn("only_id", only_id), "distinct-recent")
-    hits = _cell_join(distinct, _distinct_vectors(measured, k1), k1, single, pivots, block_rows)
+    pivot = _pivots(measured, pivots)
+    gaps = _pivot_gaps(pivot)
+
+    def placed(vectors: DataFrame, name: str) -> DataFrame:
+        return materialize(vectors.withColumn("gaps", gaps("vector")).withColumn("cell", _own_cell()), name)
+
+    distinct = placed(counted.withColumn("only_id", only_id), "recent-vectors")
+    targets = placed(_distinct_vectors(measured, k1).select("u", "vector", "members"), "all-vectors")
+    hits = _cell_join(distinct, targets, pivot, k1, single, block_rows)
     lists = materialize(_hit_lists(hits, k1), "nearest")
 
     key = ["h", "vector"]

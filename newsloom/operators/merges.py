@@ -99,7 +99,7 @@ def absent_by_link(articles: DataFrame, entries: DataFrame) -> DataFrame:
     known = articles.select("link")
     if small:
         # stored, because a scan of the whole table may outlast the time limit of a broadcast
-        known = F.broadcast(materialize(known.join(links, "link", "left_semi"), "known-links"))
+        known = F.broadcast(materialize(known.join(links, "link", "left_semi").distinct(), "known-links"))
     return new.join(known, "link", "left_anti")
 
 

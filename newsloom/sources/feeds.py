@@ -62,12 +62,9 @@ def atom_to_entry() -> list:
     ]
 
 
-def _options(row_tag: str) -> dict[str, str]:
-    return {"rowTag": row_tag, "mode": "DROPMALFORMED", "ignoreCorruptFiles": "true"}
-
-
-def _rows(reader, root: str, row_tag: str, ddl: str) -> DataFrame:
-    return reader.format("xml").options(**_options(row_tag)).schema(_xml_schema(ddl)).load(root)
+def _rows(reader, root: str, row_tag: str, ddl: str, files: str) -> DataFrame:
+    options = {"rowTag": row_tag, "mode": "DROPMALFORMED", "ignoreCorruptFiles": "true", "pathGlobFilter": files}
+    return reader.format("xml").options(**options).schema(_xml_schema(ddl)).load(root)
 
 
 def _split():
@@ -83,12 +80,12 @@ def number_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("entry_ord", F.struct("split.file", "split.offset", row)).drop("split")
 
 
-def read_rss(spark: SparkSession, root: str) -> DataFrame:
-    return number_rows(_rows(spark.read, root, "item", RSS_ITEM).select(*rss_to_entry(), _split()))
+def read_rss(spark: SparkSession, root: str, files: str = "*") -> DataFrame:
+    return number_rows(_rows(spark.read, root, "item", RSS_ITEM, files).select(*rss_to_entry(), _split()))
 
 
-def read_atom(spark: SparkSession, root: str) -> DataFrame:
-    return number_rows(_rows(spark.read, root, "entry", ATOM_ENTRY).select(*atom_to_entry(), _split()))
+def read_atom(spark: SparkSession, root: str, files: str = "*") -> DataFrame:
+    return number_rows(_rows(spark.read, root, "entry", ATOM_ENTRY, files).select(*atom_to_entry(), _split()))
 
 
 def attach_feeds(rows: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -97,18 +94,25 @@ def attach_feeds(rows: DataFrame, feeds: DataFrame) -> DataFrame:
     return rows.join(feeds, "feed_key").withColumn("published_parsed", parse_published(F.col("published")))
 
 
-def read_feed_files(spark: SparkSession, root: str, feeds: DataFrame) -> DataFrame:
-    """All landed RSS items and Atom entries of the enabled ``feeds``."""
-    rows = read_rss(spark, root).unionByName(read_atom(spark, root), allowMissingColumns=True)
+def read_feed_files(
+    spark: SparkSession, root: str, feeds: DataFrame, rss_files: str = "*", atom_files: str = "*"
+) -> DataFrame:
+    """All landed RSS items and Atom entries of the enabled ``feeds``.
+
+    Where file names tell the formats apart, name patterns spare reading each file for both.
+    """
+    rows = read_rss(spark, root, rss_files).unionByName(read_atom(spark, root, atom_files), allowMissingColumns=True)
     return conform_entries(attach_feeds(rows, feeds))
 
 
-def stream_feed_files(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
+def stream_feed_files(
+    spark: SparkSession, root: str, files_per_batch: int = 1000, rss_files: str = "*", atom_files: str = "*"
+) -> DataFrame:
     """Newly landed RSS items and Atom entries; :func:`number_rows` is left to each micro-batch."""
 
     def reader():
         return spark.readStream.option("maxFilesPerTrigger", files_per_batch)
 
-    rss = _rows(reader(), root, "item", RSS_ITEM).select(*rss_to_entry(), _split())
-    atom = _rows(reader(), root, "entry", ATOM_ENTRY).select(*atom_to_entry(), _split())
+    rss = _rows(reader(), root, "item", RSS_ITEM, rss_files).select(*rss_to_entry(), _split())
+    atom = _rows(reader(), root, "entry", ATOM_ENTRY, atom_files).select(*atom_to_entry(), _split())
     return rss.unionByName(atom, allowMissingColumns=True)

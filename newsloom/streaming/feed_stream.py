@@ -42,11 +42,14 @@ def start_ingest(
     table: str,
     checkpoint: str,
     as_of: datetime | None = None,
-    files_per_batch: int = 1000,
+    **reading,
 ) -> StreamingQuery:
-    """Start a run over everything that has landed since the last one."""
+    """Start a run over everything that has landed since the last one.
+
+    ``reading`` goes to :func:`newsloom.sources.feeds.stream_feed_files`.
+    """
     return (
-        stream_feed_files(spark, root, files_per_batch)
+        stream_feed_files(spark, root, **reading)
         .writeStream.foreachBatch(lambda batch, _id: ingest_batch(batch, feeds, table, as_of))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -127,3 +127,14 @@ def test_only_touched_partitions_are_replaced(spark, articles):
     after = tables.read_articles(spark, path)
     assert sorted(values(after, "id", "agent")) == [(1, "AI"), (2, "AI"), (3, "AI"), (4, "TAG"), (5, "AI")]
     assert before <= set(after.inputFiles())
+
+
+def test_new_links_with_a_third_of_all_rows_on_one(spark, articles, path):
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id"))).alias("link"),
+        F.col("id").cast("string").alias("title"), F.col("id").alias("entry_ord"),
+    )
+    got = merges.insert_absent(articles, rows, AS_OF)
+    assert got.count() == 6001
+    assert values(got.where("link = 'hot'"), "title") == [("0",)]
+    assert values(got.agg(F.min("id"), F.max("id"), F.countDistinct("id"))) == [(6, 6006, 6001)]

@@ -64,6 +64,8 @@ def test_feed_files(spark, config):
     assert (first["entry_id"], first["summary"], first["feed_tags"]) == ("g1", "<p>one &amp; two</p>", ["a", "b"])
     assert first["published_parsed"] == datetime(2024, 1, 30, 10) == atom["published_parsed"]
     assert (atom["entry_id"], atom["summary"], atom["feed_tags"]) == ("urn:1", "s", ["t"])
+    known = publications.publication_feeds(config)
+    assert feeds.read_feed_files(spark, root, known, atom_files="*.atom").count() == 2
 
 
 def test_ingest_files_into_a_table(spark, config):

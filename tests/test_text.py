@@ -112,6 +112,7 @@ def test_short_texts_and_combined(spark):
         (3, "same", "same", "pub", None),
         (4, "x" * 1000, "y " * 6000, "pub", None),
         (5, "t", "tail |", "pub", None),
+        (6, "<![what[x]]>", "<![what[x]]>", "pub", None),
     ]
     df = spark.createDataFrame(rows, "id int, title string, summary string, publication string, author string")
     got = {r["id"]: r for r in prepare_for_models(df).collect()}
@@ -128,6 +129,8 @@ def test_short_texts_and_combined(spark):
     assert got[4]["title_short"] == "Error processing title"
     assert got[4]["summary_short"] == ("y " * 5000).strip() + "..."
     assert got[5]["summary_short"] == "tail "
+    assert got[6]["title_short"] == "Error processing title"
+    assert got[6]["summary_short"] == "Error processing summary"
 
 
 @pytest.mark.parametrize(

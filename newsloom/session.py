@@ -24,13 +24,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """Folder every executor can read: the one in ``spark.checkpoint.dir``.
+
+    Local sessions may leave it unset and get a new folder; on a cluster that is an error, because each
+    executor would write to a disk of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
-        # local runs only: a cluster names its shared folder in spark.checkpoint.dir
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -6,10 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import language_id, near_dedup, packing, quality_rules, toxicity
+from newsloom.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    packing,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from newsloom.llm.common import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_suffixes(read_table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_marks(read_table(spark, sf_dir, "documents"))
 
@@ -19,10 +42,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), near_dedup.Settings(words=4))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -35,6 +67,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op5_language_id, op7_minhash_near_dedup, op9_toxicity, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_suffix_dedup,
+        op3_substring_dedup,
+        op4_quality_rules,
+        op5_language_id,
+        op6_lm_scoring,
+        op7_minhash_near_dedup,
+        op8_benchmark_decontamination,
+        op9_toxicity,
+        op10_packing,
+    )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_benchmark_decontamination": decontamination.CONTAINED_SQL}

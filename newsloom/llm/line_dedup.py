@@ -7,8 +7,8 @@ the rest is verified by Jaccard on the sets. A line goes when an earlier line (s
 smaller line number) is similar to it, whether or not that one stays. Built-in functions only.
 
 Equal lines are collapsed before the join. A line then meets the first and the previous line of each of
-its prefix words, which finds a partner for nearly all copies in linear work; only lines without a
-partner so far are joined with all lines of their prefix words.
+its prefix words, and the nearest of these by parity is verified, which finds a partner for nearly all
+copies in linear work; only lines without a partner so far are joined with all lines of their prefix words.
 
 The rarity of a word is the count of its hash bucket: a table of fixed size, counted over all words,
 decides the order alone and never which lines are similar. Words are compared by 56 bits of hash and the
@@ -17,13 +17,14 @@ rarity class, lines by 128 bits.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import SEPARATORS, word_array
-from newsloom.session import broadcast_if_small, materialize
+from newsloom.llm.common import word_array
+from newsloom.session import broadcast_if_small, materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -41,49 +42,68 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^ \t-\r]"))
 
 
-def rarity_table(docs: DataFrame, s: Settings) -> bytes:
-    """The rarity class of each hash bucket, one byte each: three times the binary logarithm of its count."""
-    words = docs.select(F.explode(F.split("text", SEPARATORS)).alias("word"))
+def _words(text: Column) -> Column:
+    """Words of a text, faster where the space is its only separator."""
+    plain = F.array_remove(F.split(text, " "), "")
+    return F.when(text.rlike("[\\t-\\r]"), word_array(text)).otherwise(plain)
+
+
+def rarity_table(docs: DataFrame, s: Settings) -> list[int]:
+    """The rarity class of each hash bucket: three times the binary logarithm of its count."""
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit(s.buckets - 1)).alias("id")
     counts = words.groupBy(bucket).agg(F.least(F.floor(3 * F.log2(F.count(F.lit(1)) + 1)), F.lit(127)).cast("int").alias("class"))
     every = docs.sparkSession.range(s.buckets).join(counts, "id", "left")
     pairs = F.collect_list(F.struct("id", F.coalesce("class", F.lit(0)).alias("class")))
     classes = F.transform(F.sort_array(pairs), lambda x: x["class"])
-    return bytes(every.agg(classes.alias("classes")).first()["classes"])  # of fixed size
+    return every.agg(classes.alias("classes")).first()["classes"]  # of fixed size
 
 
-def _ranked_words(line: Column, classes: bytes, s: Settings) -> Column:
+def _ranked_words(line: Column, classes: list[int], s: Settings) -> Column:
     """Distinct words of a line as numbers in order of rarity."""
-    table = F.lit(classes)
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded into one constant
 
-    def rank(word: Column) -> Column:
-        h = F.xxhash64(word)
-        place = h.bitwiseAND(F.lit(s.buckets - 1)).cast("int") + 1
-        rarity = F.ascii(F.substring(table, place, 1).cast("string")).cast("long")
+    def rank(h: Column) -> Column:
+        rarity = F.get(table, h.bitwiseAND(F.lit(s.buckets - 1)).cast("int"))
         return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(word_array(line), rank)))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, rank))
 
 
 def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _postings(docs: DataFrame, s: Settings) -> DataFrame:
-    """``token, pos, n, parity, doc_id, line_no`` for the prefix words of every distinct line.
+def _repeated(docs: DataFrame) -> DataFrame:
+    """``h1, h2, first``: lines that occur more than once, with the first place of each."""
+    lines = lines_of(docs).select("doc_id", "line_no", *_identity(F.col("line")))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return materialize(firsts.where("n > 1").select("h1", "h2", "first"), "repeated_lines")
+
 
-    Lines of up to three words can only be similar to lines of the same words; a pair of unequal
-    lines with equal sets meets in any prefix, so those of one to three words keep one word.
-    """
+def _postings(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
+    """``token, pos, n, parity, doc_id, line_no`` for the prefix words of the first line of each kind."""
     classes = rarity_table(docs, s)
-    words = lines_of(docs).select("doc_id", "line_no", *_identity(F.col("line")), _ranked_words(F.col("line"), classes, s).alias("words"))
+    repeated, _ = broadcast_if_small(repeated, 1_000_000)
+    lines = lines_of(docs).select("doc_id", "line_no", "line", *_identity(F.col("line"))).join(repeated, ["h1", "h2"], "left")
+    lines = lines.where("first is null or struct(doc_id, line_no) = first")
+    words = lines.select("doc_id", "line_no", _ranked_words(F.col("line"), classes, s).alias("words"))
     n = F.size("words")
     kept = n - F.ceil(n * s.percent / 100).cast("int") + 1
     parity = F.expr("aggregate(words, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
-    rows = words.select("doc_id", "line_no", "h1", "h2", n.alias("n"), parity.alias("parity"), F.slice("words", F.lit(1), kept).alias("prefix"))
-    first = F.min(F.struct("doc_id", "line_no")).alias("line")
-    distinct = rows.groupBy("h1", "h2", "n", "parity", "prefix").agg(first)
-    return distinct.select(F.posexplode("prefix").alias("pos", "token"), "n", "parity", "line.doc_id", "line.line_no")
+    rows = words.select("doc_id", "line_no", n.alias("n"), parity.alias("parity"), F.slice("words", F.lit(1), kept).alias("prefix"))
+    return rows.select(F.posexplode("prefix").alias("pos", "token"), "n", "parity", "doc_id", "line_no")
+
+
+def _by_token(postings: DataFrame) -> tuple[DataFrame, str]:
+    """The postings as a bucketed table in the shared folder, so both joins on the token do without a shuffle."""
+    spark = postings.sparkSession
+    name = f"line_postings_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = postings.repartition(parts, "token").write.format("parquet").bucketBy(parts, "token").sortBy("token").option("compression", "zstd")
+    writer.option("path", scratch_path(spark, "line_postings")).saveAsTable(name)
+    return spark.table(name), name
 
 
 def _may_be_similar(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
@@ -100,24 +120,24 @@ def _may_be_similar(x: dict[str, Column], y: dict[str, Column], s: Settings) ->
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Later lines ``doc_id, line_no`` of those ``pairs (doc_id, line_no, y_doc, y_line)`` that reach the similarity."""
-    ends = pairs.select("doc_id", "line_no").union(pairs.select("y_doc", "y_line")).distinct()
-    ends = materialize(ends, "line_ends")
-    some, _ = broadcast_if_small(ends.select("doc_id").distinct(), 2_000_000)
-    some_lines, _ = broadcast_if_small(ends, 2_000_000)
-    lines = lines_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(some, "doc_id", "left_semi"))
-    lines = lines.join(some_lines, ["doc_id", "line_no"], "left_semi")
-    words = F.array_distinct(F.transform(word_array(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = materialize(lines.select("doc_id", "line_no", words.alias("words")), "line_words")
-    joined = pairs.join(sets.withColumnRenamed("words", "x"), ["doc_id", "line_no"])
-    joined = joined.join(sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("words").alias("y")), ["y_doc", "y_line"])
+    """Later lines ``doc_id, line_no`` of those ``pairs (doc_id, line_no, y_doc, y_line)`` that reach the similarity.
+
+    The words of the later line travel once, to where its partner is; nothing else of the lines moves.
+    """
+    words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    lines = lines_of(docs)
+    later, _ = broadcast_if_small(pairs, 2_000_000)
+    earlier, _ = broadcast_if_small(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line_no")).distinct(), 2_000_000)
+    x = lines.join(later, ["doc_id", "line_no"]).select("doc_id", "line_no", "y_doc", "y_line", words.alias("x"))
+    y = lines.join(earlier, ["doc_id", "line_no"], "left_semi").select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), words.alias("y"))
     both = F.size(F.array_intersect("x", "y"))
+    joined = x.join(y, ["y_doc", "y_line"])
     return joined.where(100 * both >= s.percent * (F.size("x") + F.size("y") - both)).select("doc_id", "line_no").distinct()
 
 
-def _similar_to_earlier(docs: DataFrame, s: Settings) -> DataFrame:
+def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
     """First lines of their kind that are similar to an earlier line of another kind."""
-    postings = _postings(docs, s).repartition(F.col("token"))
+    postings, table = _by_token(_postings(docs, repeated, s))
     columns = ["n", "pos", "parity", "doc_id", "line_no"]
     here = {c: F.col(c) for c in columns}
 
@@ -127,7 +147,10 @@ def _similar_to_earlier(docs: DataFrame, s: Settings) -> DataFrame:
     met = ranked.select(*columns, F.explode(F.array("first", "previous")).alias("y")).where("y is not null")
     there = {c: F.col(f"y.{c}") for c in columns}
     met = met.where(_may_be_similar(here, there, s) & (F.struct("doc_id", "line_no") > F.struct("y.doc_id", "y.line_no")))
-    pairs = materialize(met.select("doc_id", "line_no", F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct(), "line_pairs")
+    # one partner for each line: the one with the fewest different bits
+    far = F.bit_count(F.col("parity").bitwiseXOR(F.col("y.parity")))
+    nearest = F.min(F.struct(far.alias("far"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"))).alias("y")
+    pairs = materialize(met.groupBy("doc_id", "line_no").agg(nearest).select("doc_id", "line_no", "y.y_doc", "y.y_line"), "line_pairs")
     found = materialize(_verified(docs, pairs, s), "similar_lines")
 
     known, _ = broadcast_if_small(found, 2_000_000)
@@ -138,16 +161,18 @@ def _similar_to_earlier(docs: DataFrame, s: Settings) -> DataFrame:
     rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & later & _may_be_similar(x, y, s))
     rest = rest.select("x.doc_id", "x.line_no", y["doc_id"].alias("y_doc"), y["line_no"].alias("y_line")).distinct()
     rest = materialize(rest.join(pairs, ["doc_id", "line_no", "y_doc", "y_line"], "left_anti"), "line_pairs")
+    docs.sparkSession.sql(f"drop table {table}")
     return found.unionByName(_verified(docs, rest, s)).distinct()
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, line_no`` of every line that goes: copies of an earlier line and lines similar to one."""
+    repeated = _repeated(docs)
+    firsts, _ = broadcast_if_small(repeated, 1_000_000)
     lines = lines_of(docs).select("doc_id", "line_no", *_identity(F.col("line")))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts, _ = broadcast_if_small(materialize(firsts.where("n > 1").select("h1", "h2", "first"), "repeated_lines"), 1_000_000)
     copies = lines.join(firsts, ["h1", "h2"]).where("struct(doc_id, line_no) > first").select("doc_id", "line_no")
-    return materialize(copies.unionByName(_similar_to_earlier(docs, settings)).distinct(), "removed_lines")
+    similar = _similar_to_earlier(docs, repeated, settings)
+    return materialize(copies.unionByName(similar).distinct(), "removed_lines")
 
 
 def line_report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -170,7 +195,7 @@ def remove_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Documents that lose nothing stay as they are, also NULL and empty texts and NULL ids.
     """
     gone = removed_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_doc")
+    gone, _ = broadcast_if_small(materialize(gone.withColumnRenamed("doc_id", "_doc"), "lines_by_document"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left")
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))

@@ -7,7 +7,9 @@ centre, so pair counts stay linear in the bucket. Candidates are confirmed on fu
 
 A node that the centre doesn't link may still be linked to another node of the bucket. Two more rounds
 try other centres, among nodes of different components only; then what is left of a bucket outside its
-largest component is compared with all of the bucket. No bucket, group or candidate list is cut off.
+largest component is compared with all of the bucket. These rounds only pair documents whose sizes and
+parity signatures allow the similarity, bounds that hold for every pair that has it. No bucket, group or
+candidate list is cut off.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import WORD, bytes_of, map_texts, pieces_of
@@ -28,6 +30,7 @@ from newsloom.session import broadcast_if_small, materialize
 WORDS = re.compile(WORD)
 # Word hashes that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 500_000
+PARITY_BITS = 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,25 +89,41 @@ def band_hashes(shingles: np.ndarray, s: Settings, order: np.ndarray) -> np.ndar
     return value.view(np.int64)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """For every bit the parity of the shingles that fall on it: two sets differ in at least as many
+    shingles as their bits do."""
+    odd = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_similar(s: Settings) -> Column:
+    """Size and parity bounds between a row and the ``other_`` one beside it."""
+    n, m = F.col("n_shingles"), F.col("other_n")
+    different = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("other_parity")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & (different * (100 + s.percent) <= (n + m) * (100 - s.percent))
+
+
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands``; no digest and no bands for an empty set."""
+    """``doc_id, n_shingles, digest, bands, parity``; the last three are NULL for an empty set."""
 
     def run(batches):
         order, hashes = probe_order(s.bands * s.rows, s.seed), _WordHashes()
         for whole in batches:
             for batch in pieces_of(whole):
-                sizes, digests, bands = [], [], []
+                sizes, digests, bands, parity = [], [], [], []
                 for text in bytes_of(batch):
                     shingles = shingle_set(text, s.words, hashes)
                     sizes.append(len(shingles))
                     digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                     bands.append(band_hashes(shingles, s, order) if len(shingles) else None)
+                    parity.append(parity_bits(shingles) if len(shingles) else None)
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(parity, longs)],
+                    ["doc_id", "n_shingles", "digest", "bands", "parity"],
                 )
 
-    return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
@@ -155,24 +174,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     members = materialize(placed.join(several.select("bucket", "first"), "bucket").distinct(), "buckets")
 
     tested = materialize(members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    facts = firsts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    facts = materialize(facts.select(F.col("doc_id").alias("node"), "n_shingles", "parity").dropDuplicates(["node"]), "node_facts")
     links = materialize(linked(docs, tested, s), "links")
     components = materialize(connected_components(links), "components")
     for attempt in (1, 2, None):
         known = members.select("bucket", "node").join(components, "node", "left")
         known = known.select("bucket", "node", F.coalesce("component", "node").alias("component"))
         mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_ = materialize(known.join(mixed.select("bucket"), "bucket", "left_semi"), "open_buckets")
+        open_ = materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").join(facts, "node"), "open_buckets")
+        as_other = [F.col(c).alias(f"other{d}") for c, d in (("node", ""), ("component", "_component"), ("n_shingles", "_n"), ("parity", "_parity"))]
         if attempt:
-            mark = F.struct(F.xxhash64("node", F.lit(attempt)).alias("h"), "node", "component")
-            centres = open_.groupBy("bucket").agg(F.min(mark).alias("c")).select("bucket", "c.*")
-            centres = centres.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-            pairs = open_.join(centres, "bucket").where("component != other_component")
+            mark = F.struct(F.xxhash64("node", F.lit(attempt)).alias("h"), "node", "component", "n_shingles", "parity")
+            others = open_.groupBy("bucket").agg(F.min(mark).alias("c")).select("bucket", "c.*").select("bucket", *as_other)
         else:
             sizes = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
             largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("largest"))
-            outside = open_.join(largest, "bucket").where("component != largest")
-            outside = outside.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-            pairs = open_.join(outside, "bucket").where("component != other_component")
+            others = open_.join(largest, "bucket").where("component != largest").select("bucket", *as_other)
+        pairs = open_.join(others, "bucket").where(F.expr("component != other_component") & _may_be_similar(s))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0:

@@ -189,10 +189,10 @@ def _pair_shard(firsts: np.ndarray, seconds: np.ndarray, m: Model) -> np.ndarray
 
 
 def _discounts(counts: list[int]) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from how many were seen once to four times."""
+    """Modified Kneser-Ney discounts from how many were seen once to four times, 0.1 at least."""
     n1, n2, n3, n4 = (max(1, n) for n in counts)
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return tuple(min(max(k - (k + 1) * y * b / a, 0.1), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
 def _discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:

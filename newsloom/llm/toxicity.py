@@ -36,6 +36,7 @@ class Settings:
     longest: int = 6
     dimensions: int = 6
     epochs: int = 6
+    least_steps: int = 400
     scale: float = 100.0
     batch: int = 32
     rate: float = 0.1
@@ -93,9 +94,10 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     bias = np.zeros(2, np.float32)
     squares = [np.full_like(x, 1e-6) for x in (table, out, bias)]
     scale = np.float32(s.scale)  # the mean of many small vectors is brought to a size the softmax can use
-    for epoch in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps * s.batch // len(y)))  # small samples are read more often
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
-        rate = s.rate * (1 - 0.9 * epoch / s.epochs)
+        rate = s.rate * (1 - 0.9 * epoch / epochs)
         for k in range(0, len(order), s.batch):
             rows = order[k : k + s.batch]
             ids = np.concatenate([bags[i][0] for i in rows])

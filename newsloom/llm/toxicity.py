@@ -8,6 +8,7 @@ the linear layer commute, so a trained model is one number per n-gram bucket and
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,10 +85,19 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
         rate = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(size, np.float32), float(np.log((rate + 0.01) / (1.01 - rate))), s)
     rng = np.random.default_rng(s.seed)
-    bags = []
+    # all bags in three flat arrays, which go back to the system after training
+    flat_ids, flat_counts, ends = array("I"), array("H"), [0]
     for text in texts:
         ids, counts = np.unique(ngram_buckets([text], s)[0], return_counts=True)
-        bags.append((ids.astype(np.int64), (counts / max(1, counts.sum())).astype(np.float32)))
+        flat_ids.frombytes(ids.astype(np.uint32).tobytes())
+        flat_counts.frombytes(np.minimum(counts, 65535).astype(np.uint16).tobytes())
+        ends.append(len(flat_ids))
+    all_ids, all_counts = np.frombuffer(flat_ids, np.uint32), np.frombuffer(flat_counts, np.uint16)
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        counts = all_counts[ends[i] : ends[i + 1]].astype(np.float32)
+        return all_ids[ends[i] : ends[i + 1]].astype(np.int64), counts / max(1.0, counts.sum())
+
     d = s.dimensions
     table = np.zeros((d, size), np.float32)  # n-grams never seen stay neutral; the softmax breaks the symmetry
     out = rng.normal(0, 0.5, (d, 2)).astype(np.float32)
@@ -100,9 +110,10 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
         rate = s.rate * (1 - 0.9 * epoch / epochs)
         for k in range(0, len(order), s.batch):
             rows = order[k : k + s.batch]
-            ids = np.concatenate([bags[i][0] for i in rows])
-            share = np.concatenate([bags[i][1] for i in rows]) * scale
-            row = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
+            bags = [bag(i) for i in rows]
+            ids = np.concatenate([x for x, _ in bags])
+            share = np.concatenate([x for _, x in bags]) * scale
+            row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in bags])
             mean = np.stack([np.bincount(row, table[j, ids] * share, len(rows)) for j in range(d)], 1).astype(np.float32)
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))

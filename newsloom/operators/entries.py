@@ -15,7 +15,7 @@ from newsloom.functions.dates import parse_published
 from newsloom.functions.html import html_to_text, paragraphs_to_text
 from newsloom.functions.text import strip_query
 from newsloom.schema import conform_entries
-from newsloom.session import broadcast_if_small, materialize
+from newsloom.session import broadcast_if_small, instant, materialize
 
 # Fixed value: entries older than this many days are skipped.
 MAX_AGE_DAYS = 5
@@ -53,7 +53,7 @@ def normalize_entries(
     ``only_fresh`` leaves stale and undated entries out altogether, by a filter the source can
     apply while reading.
     """
-    at = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    at = as_of if isinstance(as_of, Column) else instant(as_of)
     raw = conform_entries(entries)
     fresh = is_fresh(F.col("published_parsed"), at, max_age_days)
     if only_fresh:

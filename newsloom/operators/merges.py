@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.schema import ARTICLE, conform
-from newsloom.session import broadcast_if_small, materialize
+from newsloom.session import broadcast_if_small, instant, materialize
 from newsloom.sources.payloads import explode_payloads, typed_updates
 
 RULE_COLUMNS = ["agent", "score", "reason"]
@@ -50,7 +50,7 @@ def update_columns(
         if name in columns:
             value = F.when(hit, F.col("_new")[name].cast(types[name])).otherwise(F.col(name))
         elif name == "updated_at" and stamp is not None:
-            value = F.when(hit, F.lit(stamp)).otherwise(F.col(name))
+            value = F.when(hit, instant(stamp)).otherwise(F.col(name))
         else:
             value = F.col(name)
         projected.append(value.alias(name))
@@ -126,7 +126,7 @@ def insert_absent(articles: DataFrame, entries: DataFrame, as_of: datetime, last
         last_id = articles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     new = absent_by_link(articles, entries).withColumn("_at", F.monotonically_increasing_id())
     rows = number_from(materialize(new, "new-articles"), int(last_id))
-    return conform(rows.withColumn("created_at", F.lit(as_of)), ARTICLE)
+    return conform(rows.withColumn("created_at", instant(as_of)), ARTICLE)
 
 
 def update_title_and_summary(articles: DataFrame, entries: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import broadcast_if_small, materialize
+from newsloom.session import broadcast_if_small, instant, materialize
 
 # Recent vectors are broadcast up to these bounds (bytes as doubles), else routed by cells.
 BROADCAST_VECTOR_BYTES = 64 * 1024 * 1024
@@ -474,7 +474,7 @@ def nearest_neighbors(
     slim = articles.select(
         "id", F.col("score").cast("int").alias("score"), "agent", "created_at", F.col(vector).cast("array<float>").alias("vector")
     )
-    sources = slim.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"interval {int(recent_days)} days")).select(
+    sources = slim.where(F.col("created_at") >= instant(as_of) - F.expr(f"interval {int(recent_days)} days")).select(
         F.col("id").alias("source_id"), F.col("score").alias("source_score"), F.col("agent").alias("source_agent"), "vector"
     )
     measured = slim.where("vector is not null").select("id", "score", "vector")

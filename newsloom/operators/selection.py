@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import instant
 from newsloom.functions.text import combined_text, has_bad_content, plain_line, short_summary, short_title
 
 # Defaults of the recent-article selection and the agent set by people.
@@ -25,7 +26,7 @@ def with_nulls_in(articles: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def created_since(articles: DataFrame, as_of: datetime, hours: int = RECENT_HOURS) -> DataFrame:
-    return articles.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"interval {int(hours)} hours"))
+    return articles.where(F.col("created_at") >= instant(as_of) - F.expr(f"interval {int(hours)} hours"))
 
 
 def recent(

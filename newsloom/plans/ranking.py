@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.neighbors import nearest_neighbors, neighbor_scores, rank_by_neighbors
-from newsloom.session import materialize
+from newsloom.session import instant, materialize
 
 
 def top_results(
@@ -27,5 +27,5 @@ def top_results(
     pairs = nearest_neighbors(articles, as_of, k=k, per_article=per_article, recent_days=recent_days, **options)
     # stored, because the scan behind them may outlast the time limit of a broadcast
     pairs = materialize(pairs, "neighbor-pairs")
-    recent = articles.where(F.col("created_at") >= F.lit(as_of) - F.expr(f"interval {int(recent_days)} days"))
+    recent = articles.where(F.col("created_at") >= instant(as_of) - F.expr(f"interval {int(recent_days)} days"))
     return rank_by_neighbors(recent, neighbor_scores(pairs, user_agent), few=not per_article)

@@ -24,7 +24,7 @@ from newsloom.plans import ingest
 from newsloom.plans.derived_views import AS_OF, HACKER_NEWS, table
 from newsloom.plans.ranking import top_results
 from newsloom.schema import ARTICLE, TAGGING_RESULT, conform
-from newsloom.session import configure, materialize, scratch_path
+from newsloom.session import configure, instant, materialize, scratch_path
 from newsloom.sources import feeds, payloads, publications, tables
 from newsloom.streaming.feed_stream import start_ingest
 
@@ -286,7 +286,7 @@ def publication_feeds(spark, sf):
 @query
 def fresh_entries(spark, sf):
     e = dv.entries(spark, sf)
-    return e.where(en.is_fresh(F.col("published_parsed"), F.lit(AS_OF))).select("entry_ord")
+    return e.where(en.is_fresh(F.col("published_parsed"), instant(AS_OF))).select("entry_ord")
 
 
 @query

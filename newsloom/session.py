@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def instant(at: datetime) -> Column:
+    """A point in time as a literal; without a zone it is UTC, whatever the zone of the machine."""
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the one in ``spark.checkpoint.dir``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,10 @@ def ingest_batch(batch: DataFrame, feeds: DataFrame, table: str, as_of: datetime
     A batch that is run again after a failure finds its links in the table and adds nothing.
     """
     spark = batch.sparkSession
-    now = as_of or spark.sql("SELECT current_timestamp()").first()[0]
+    now = as_of
+    if now is None:  # as microseconds, which no zone of the driver machine can shift
+        micros = spark.sql("SELECT unix_micros(current_timestamp())").first()[0]
+        now = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
     entries = attach_feeds(number_rows(batch), feeds)
     collected = materialize(collect_entries(normalize_entries(entries, now, only_fresh=True)), "micro-batch")
     append_rows(insert_absent(_known_articles(spark, table), collected, now), table)

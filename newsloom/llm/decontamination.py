@@ -10,8 +10,9 @@ partition. Candidates are verified by exact shingle containment. Built-in functi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import word_array
@@ -26,32 +27,35 @@ class Settings:
     percent: int = 80
 
 
-def _shingle_hashes(words: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` words, NULL where there are fewer words."""
-    places = F.sequence(F.lit(1), F.size(words) - (width - 1))
-    return F.when(F.size(words) >= width, F.transform(places, lambda i: F.xxhash64(F.slice(words, i, width))))
+def _shingles(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with their ``words`` replaced by a row per place of ``width`` words, hashed to ``shingle``.
+
+    Places are rows before they are hashed, so that hashing and the join that follows are compiled code. The outer
+    explode keeps the optimizer from splitting texts a second time for a filter below it.
+    """
+    places = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width))
+    placed = rows.withColumn("place", F.explode_outer(places)).where("place is not null")
+    shingle = F.xxhash64(*[F.get("words", F.col("place") + k) for k in range(width)])
+    return placed.withColumn("shingle", shingle).drop("words", "place")
+
+
+def _all_widths(rows: DataFrame, widths: list[int]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_shingles(rows.withColumn("width", F.lit(w)), w) for w in widths])
 
 
 def item_shingles(items: DataFrame, s: Settings) -> DataFrame:
     """``item_id, width, shingle, n``: distinct shingles, ``n`` of them; an item below ``words`` words is one shingle."""
     words = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), word_array(F.lower("text")).alias("words"))
-    words = words.where(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(s.words)))
-    by_width = F.coalesce(*[F.when(F.col("width") == w, _shingle_hashes(F.col("words"), w)) for w in range(1, s.words + 1)])
-    each = words.select("item_id", "width", F.explode(by_width).alias("shingle")).distinct()
+    own = F.col("width") == F.least("n_words", F.lit(s.words))
+    each = _all_widths(words.withColumn("n_words", F.size("words")), list(range(1, s.words + 1))).where(own)
+    each = each.select("item_id", "width", "shingle").distinct()
     return each.join(each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id")
 
 
 def _document_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """``doc_id, width, n_words, shingle`` for every place of every text."""
-    words = docs.select("doc_id", word_array(F.lower("text")).alias("words")).where(F.size("words") > 0)
-    frames = [
-        words.select("doc_id", F.lit(w).alias("width"), F.size("words").alias("n_words"), F.explode(_shingle_hashes(F.col("words"), w)).alias("shingle"))
-        for w in widths
-    ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    """``doc_id, n_words, width, shingle`` for every place of every text."""
+    words = docs.select("doc_id", word_array(F.lower("text")).alias("words"))
+    return _all_widths(words.withColumn("n_words", F.size("words")), widths)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:

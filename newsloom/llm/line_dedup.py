@@ -36,9 +36,13 @@ class Settings:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line`` of every line with a word; line numbers start from 0."""
+    """``doc_id, line_no, line`` of every line with a word; line numbers start from 0.
+
+    The outer form of the generators keeps the optimizer from adding a filter on their size, which would
+    compute the array several times over. The row it adds for a NULL text is no line with a word.
+    """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = texts.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(r"[^ \t-\r]"))
 
 
@@ -50,7 +54,7 @@ def _words(text: Column) -> Column:
 
 def rarity_table(docs: DataFrame, s: Settings) -> list[int]:
     """The rarity class of each hash bucket: three times the binary logarithm of its count."""
-    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    words = docs.select(F.explode_outer(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit(s.buckets - 1)).alias("id")
     counts = words.groupBy(bucket).agg(F.least(F.floor(3 * F.log2(F.count(F.lit(1)) + 1)), F.lit(127)).cast("int").alias("class"))
     every = docs.sparkSession.range(s.buckets).join(counts, "id", "left")
@@ -90,10 +94,9 @@ def _postings(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
     lines = lines.where("first is null or struct(doc_id, line_no) = first")
     words = lines.select("doc_id", "line_no", _ranked_words(F.col("line"), classes, s).alias("words"))
     n = F.size("words")
-    kept = n - F.ceil(n * s.percent / 100).cast("int") + 1
     parity = F.expr("aggregate(words, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
-    rows = words.select("doc_id", "line_no", n.alias("n"), parity.alias("parity"), F.slice("words", F.lit(1), kept).alias("prefix"))
-    return rows.select(F.posexplode("prefix").alias("pos", "token"), "n", "parity", "doc_id", "line_no")
+    rows = words.select("doc_id", "line_no", n.alias("n"), parity.alias("parity"), F.slice("words", F.lit(1), _kept(n, s)).alias("prefix"))
+    return rows.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "parity", "doc_id", "line_no")
 
 
 def _by_token(postings: DataFrame) -> tuple[DataFrame, str]:
@@ -106,33 +109,43 @@ def _by_token(postings: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def _may_be_similar(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
-    """Length, positional and parity filters: true for every pair of similar lines that shares its first common word here."""
+def _needed(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
+    """The smallest number of common words with which two lines are similar."""
+    return F.ceil((x["n"] + y["n"]) * s.percent / (100 + s.percent) - 1e-9)
+
+
+def _of_one_kind(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
+    """Length and parity filters: true for every pair of similar lines."""
     t = s.percent / 100
-    both = x["n"] + y["n"]
-    needed = F.ceil(both * s.percent / (100 + s.percent) - 1e-9)
-    reach = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-    return (
-        (100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"]))
-        & (reach >= needed)
-        & (F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= both * (1 - t) / (1 + t) + 1e-9)
-    )
+    differing = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
+    return (100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"])) & (differing <= (x["n"] + y["n"]) * (1 - t) / (1 + t) + 1e-9)
+
+
+def _may_be_similar(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
+    """With the positional filter: true for every pair of similar lines that shares its first common word here."""
+    return (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= _needed(x, y, s)) & _of_one_kind(x, y, s)
+
+
+def _kept(n: Column, s: Settings) -> Column:
+    """Length of the prefix of a line."""
+    return n - F.ceil(n * s.percent / 100).cast("int") + 1
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """Later lines ``doc_id, line_no`` of those ``pairs (doc_id, line_no, y_doc, y_line)`` that reach the similarity.
 
-    The words of the later line travel once, to where its partner is; nothing else of the lines moves.
+    The later line travels once, to where its partner is, as text: that compresses, hashes of its words don't.
     """
-    words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     lines = lines_of(docs)
     later, _ = broadcast_if_small(pairs, 2_000_000)
     earlier, _ = broadcast_if_small(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line_no")).distinct(), 2_000_000)
-    x = lines.join(later, ["doc_id", "line_no"]).select("doc_id", "line_no", "y_doc", "y_line", words.alias("x"))
-    y = lines.join(earlier, ["doc_id", "line_no"], "left_semi").select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), words.alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    joined = x.join(y, ["y_doc", "y_line"])
-    return joined.where(100 * both >= s.percent * (F.size("x") + F.size("y") - both)).select("doc_id", "line_no").distinct()
+    x = lines.join(later, ["doc_id", "line_no"]).select("doc_id", "line_no", "y_doc", "y_line", F.col("line").alias("x"))
+    y = lines.join(earlier, ["doc_id", "line_no"], "left_semi").select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y"))
+    # each word list and each intersection is an element of an array, so that it is computed once
+    sets = F.array(F.struct(*(F.array_distinct(_words(F.col(c))).alias(c) for c in "xy")))
+    sizes = F.transform(sets, lambda p: F.struct((F.size(p.x) + F.size(p.y)).alias("sum"), F.size(F.array_intersect(p.x, p.y)).alias("both")))
+    similar = F.exists(sizes, lambda p: 100 * p.both >= s.percent * (p.sum - p.both))
+    return x.join(y, ["y_doc", "y_line"]).where(similar).select("doc_id", "line_no").distinct()
 
 
 def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
@@ -158,8 +171,16 @@ def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> Da
     every = postings.alias("y")
     x, y = ({c: F.col(f"{side}.{c}") for c in columns} for side in "xy")
     later = (y["doc_id"] < x["doc_id"]) | ((y["doc_id"] == x["doc_id"]) & (y["line_no"] < x["line_no"]))
-    rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & later & _may_be_similar(x, y, s))
-    rest = rest.select("x.doc_id", "x.line_no", y["doc_id"].alias("y_doc"), y["line_no"].alias("y_line")).distinct()
+    rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & later & _of_one_kind(x, y, s))
+    # A pair meets once in each common word of its prefixes. Behind the last of them, and behind the prefix
+    # that ends first, there is only so much left to share.
+    sides = [x[c].alias(f"x_{c}") for c in columns if c != "pos"] + [y[c].alias(f"y_{c}") for c in columns if c != "pos"]
+    rest = rest.groupBy(*sides).agg(F.count(F.lit(1)).alias("common"), F.max(x["pos"]).alias("x_pos"), F.max(y["pos"]).alias("y_pos"))
+    x, y = ({c: F.col(f"{side}_{c}") for c in columns} for side in "xy")
+    behind_prefix = F.greatest(*(side["n"] - _kept(side["n"], s) for side in (x, y)))
+    behind_last = F.least(*(side["n"] - side["pos"] - 1 for side in (x, y)))
+    rest = rest.where(F.col("common") + F.least(behind_prefix, behind_last) >= _needed(x, y, s))
+    rest = rest.select(x["doc_id"].alias("doc_id"), x["line_no"].alias("line_no"), y["doc_id"].alias("y_doc"), y["line_no"].alias("y_line")).distinct()
     rest = materialize(rest.join(pairs, ["doc_id", "line_no", "y_doc", "y_line"], "left_anti"), "line_pairs")
     docs.sparkSession.sql(f"drop table {table}")
     return found.unionByName(_verified(docs, rest, s)).distinct()

@@ -268,6 +268,26 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.remove_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Long lines about the threshold apart: the filters on common prefix words lose no similar pair."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.randint(60, 150))] for _ in range(6)]
+    lines = []
+    for _ in range(150):
+        line = list(rng.choice(bases))
+        for _ in range(int(len(line) * rng.uniform(0.02, 0.2))):  # single words swapped, dropped or added
+            k = rng.randrange(len(line))
+            line[k : k + rng.randint(0, 2)] = rng.sample(vocabulary, rng.randint(0, 2))
+        lines.append(line)
+    texts = [(i, "\n".join(" ".join(x) for x in lines[i * 3 : i * 3 + 3])) for i in range(50)]
+    sets = [set(x) for x in lines]
+    expected = {(k // 3, k % 3) for k, x in enumerate(sets) if any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:k])}
+    assert 20 < len(expected) < 140
+    got = {tuple(r) for r in line_dedup.removed_lines(frame(spark, texts)).select("doc_id", "line_no").collect()}
+    assert got == expected
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[20][1]), (2, " ".join(words(texts[33][1])[-40:])), (3, "never seen words in here at all"), (4, None), (5, ""), (6, "one"), (6, "one"), (None, "one")]
     items = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, doc_id string, n long")

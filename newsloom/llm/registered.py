@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import (
+    conversation_repair,
     decontamination,
+    hard_negatives,
     language_id,
     line_dedup,
     lm_scoring,
     near_dedup,
     packing,
     quality_rules,
+    sharding,
     substring_dedup,
     suffix_dedup,
     toxicity,
@@ -66,6 +69,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(rows, present="exists")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(read_table(spark, sf_dir, "documents"), stored=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +95,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_toxicity,
         op10_packing,
+        op11_conversation_repair,
+        op12_hard_negatives,
+        op13_sharding,
     )
 }
-ORACLE: dict[str, str] = {"op8_benchmark_decontamination": decontamination.CONTAINED_SQL}
+ORACLE: dict[str, str] = {
+    "op8_benchmark_decontamination": decontamination.CONTAINED_SQL,
+    "op12_hard_negatives": hard_negatives.NEGATIVES_SQL,
+}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.html import html_to_text
-from newsloom.operators.entries import NO_DATE, TOO_OLD, first_seen
+from newsloom.operators.entries import FEED_ORDER, NO_DATE, TOO_OLD
 
 
 def publication_counts(normalized: DataFrame) -> DataFrame:
@@ -23,22 +23,28 @@ def publication_counts(normalized: DataFrame) -> DataFrame:
 
 
 def feed_counts(normalized: DataFrame) -> DataFrame:
-    """Entries per feed: valid, duplicates, filtered (content never filters) and unreadable."""
+    """Entries per feed: valid, duplicates, filtered (content never filters) and unreadable.
+
+    One pass: the entries are counted per link and feed before the shuffle, each with its first summary, and
+    the first feed of a link is found among those counts.
+    """
     accepted = normalized.where("reject_reason is null")
-    offered = accepted.groupBy("feed_url").agg(F.count(F.lit(1)).alias("offered"))
-    first = (
-        first_seen(accepted)
-        .withColumn("readable", html_to_text(F.col("summary")).isNotNull())
-        .groupBy("feed_url")
-        .agg(F.count_if("readable").alias("valid"), F.count_if(~F.col("readable")).alias("html_errors"))
+    offers = accepted.groupBy("link", "feed_url").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*FEED_ORDER, "summary")).alias("first")
+    )
+    by_link = Window.partitionBy("link").orderBy("first")
+    ranked = offers.withColumn("rank", F.row_number().over(by_link))
+    is_first = F.col("rank") == 1
+    read = ranked.withColumn("readable", html_to_text(F.when(is_first, F.col("first.summary"))).isNotNull())
+    counted = read.groupBy("feed_url").agg(
+        F.sum("n").alias("offered"), F.count_if(is_first & F.col("readable")).alias("valid"), F.count_if(is_first & ~F.col("readable")).alias("html_errors")
     )
-    zero = F.lit(0).cast("long")
-    return offered.join(first, "feed_url", "left").select(
+    return counted.select(
         "feed_url",
-        F.coalesce("valid", zero).alias("valid"),
-        (F.col("offered") - F.coalesce("valid", zero) - F.coalesce("html_errors", zero)).alias("duplicates"),
-        zero.alias("filtered"),
-        F.coalesce("html_errors", zero).alias("html_errors"),
+        "valid",
+        (F.col("offered") - F.col("valid") - F.col("html_errors")).alias("duplicates"),
+        F.lit(0).cast("long").alias("filtered"),
+        "html_errors",
     )
 
 

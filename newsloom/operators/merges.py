@@ -29,20 +29,36 @@ def last_per_key(rows: DataFrame, order: list[str], key: str = "id") -> DataFram
     return rows.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
+def single_updates(updates: DataFrame, columns: list[str], key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """``key`` and the struct ``_new`` of ``columns``, one row per key; rows without a key are left out.
+
+    With ``order`` the last row of a key counts. Without it rows of one key must agree in ``columns``: those that
+    do are one, others fail the job, because no order says which of them is meant.
+    """
+    keyed = updates.where(F.col(key).isNotNull())
+    if order:
+        return last_per_key(keyed.select(key, *columns, *[c for c in order if c not in columns]), order, key).select(key, F.struct(*columns).alias("_new"))
+    new = F.struct(*columns)
+    stop = F.raise_error(F.concat(F.lit(f"different updates for {key} "), F.col(key).cast("string")))
+    merged = keyed.groupBy(key).agg(F.min(new).alias("_new"), F.max(new).alias("_other"))
+    return merged.select(key, F.when(F.col("_new").eqNullSafe(F.col("_other")), F.col("_new")).otherwise(stop).alias("_new"))
+
+
 def update_columns(
     articles: DataFrame,
     updates: DataFrame,
     columns: list[str],
     key: str = "id",
     stamp: datetime | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Overwrite ``columns`` where ``updates`` has the key, NULLs included; keep all else.
 
-    ``updates`` has one row per key; keys the table does not have are ignored. With ``stamp``
-    the touched rows also get it as updated_at.
+    The result has the rows of ``articles``, however often a key is repeated in ``updates`` (see
+    :func:`single_updates`); keys the table does not have are ignored. With ``stamp`` the touched
+    rows also get it as updated_at.
     """
-    incoming = updates.where(F.col(key).isNotNull()).select(key, F.struct(*columns).alias("_new"))
-    incoming, _ = broadcast_if_small(incoming)
+    incoming, _ = broadcast_if_small(single_updates(updates, columns, key, order))
     hit = F.col("_new").isNotNull()
     types = {f.name: f.dataType for f in articles.schema.fields}
     projected = []
@@ -60,8 +76,7 @@ def update_columns(
 def apply_rule_results(articles: DataFrame, rows: DataFrame, as_of: datetime) -> DataFrame:
     """Write (id, agent, score, reason) rows; of rows with the same id the last one counts."""
     order = [c for c in ("batch_ord", "pos") if c in rows.columns]
-    updates = last_per_key(rows, order) if order else rows
-    return update_columns(articles, updates, RULE_COLUMNS, stamp=as_of)
+    return update_columns(articles, rows, RULE_COLUMNS, stamp=as_of, order=order)
 
 
 def apply_payloads(articles: DataFrame, payloads: DataFrame, as_of: datetime) -> DataFrame:
@@ -69,17 +84,17 @@ def apply_payloads(articles: DataFrame, payloads: DataFrame, as_of: datetime) ->
     return apply_rule_results(articles, typed_updates(explode_payloads(payloads)), as_of)
 
 
-def save_embeddings(articles: DataFrame, embedded: DataFrame) -> DataFrame:
-    return update_columns(articles, embedded, EMBEDDING_COLUMNS)
+def save_embeddings(articles: DataFrame, embedded: DataFrame, order: list[str] | None = None) -> DataFrame:
+    return update_columns(articles, embedded, EMBEDDING_COLUMNS, order=order)
 
 
-def save_scores(articles: DataFrame, scored: DataFrame) -> DataFrame:
+def save_scores(articles: DataFrame, scored: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Write scores, tags and agent of all scored rows; failed ones carry their old values."""
-    return update_columns(articles, scored, SCORE_COLUMNS)
+    return update_columns(articles, scored, SCORE_COLUMNS, order=order)
 
 
-def save_records(articles: DataFrame, records: DataFrame) -> DataFrame:
-    return update_columns(articles, records, RECORD_COLUMNS)
+def save_records(articles: DataFrame, records: DataFrame, order: list[str] | None = None) -> DataFrame:
+    return update_columns(articles, records, RECORD_COLUMNS, order=order)
 
 
 def one_per_link(entries: DataFrame) -> DataFrame:
@@ -95,8 +110,8 @@ def absent_by_link(articles: DataFrame, entries: DataFrame) -> DataFrame:
     what comes back is no larger than the entries.
     """
     new = one_per_link(entries)
-    links, small = broadcast_if_small(new.select("link"))
     known = articles.select("link")
+    links, small = broadcast_if_small(entries.select("link").distinct())
     if small:
         # stored, because a scan of the whole table may outlast the time limit of a broadcast
         known = F.broadcast(materialize(known.join(links, "link", "left_semi").distinct(), "known-links"))

@@ -3,30 +3,25 @@
 ``tags`` has tag_id, name and score; a negative score marks a disliked tag, a positive one a
 liked tag, and ``tag_id`` is the order in which tags are tried on texts.
 
-A short tag table becomes literals of the plan. Names of a longer one are looked for in the
-texts by a multi-pattern automaton, block by block, and a very long one is joined to the
-articles' own tags by name.
+A short tag table becomes literals of the plan. A longer one is joined: to the articles' own tags by name,
+to the pieces of the texts by the first characters of the names.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import title_case
 from newsloom.operators.selection import rescorable, unprocessed
-from newsloom.session import broadcast_if_small
+from newsloom.session import broadcast_if_small, materialize
 
 # Up to this many tags are written into the plan: as a hash set for the articles' own tags, as a
 # chain of tests for texts.
 LITERAL_OWN_TAGS = 2000
 LITERAL_TEXT_TAGS = 48
-# Names per automaton; a longer table takes several passes.
-AUTOMATON_TAGS = 50_000
+# Up to this many distinct first characters of names are written into the plan, to skip all other positions.
+LITERAL_HEADS = 1000
 
 # Agents and scores of the rule results.
 BY_TAG, BY_TITLE, BY_NONE = "TAG", "TITLE", "NONE"
@@ -52,7 +47,8 @@ def _mark(negative: Column, positive: Column, weight: int) -> dict[str, Column]:
 
 
 def _polar(tags: DataFrame) -> DataFrame:
-    return tags.where("score <> 0 and name <> ''").select("tag_id", "name", (F.col("score") < 0).alias("bad"))
+    """Tags that count. An empty name is a tag like any other and part of every text."""
+    return tags.where("score <> 0 and name is not null").select("tag_id", "name", (F.col("score") < 0).alias("bad"))
 
 
 def _literals(tags: DataFrame, most: int) -> tuple[list[str], list[str]] | None:
@@ -70,9 +66,9 @@ def _last_own_tag(own: Column, names: list[str], but_not: list[str] = ()) -> Col
     return F.try_element_at(F.filter(own, lambda t: t.isin(*names)), F.lit(-1))
 
 
-def _own_hits(articles: DataFrame, tags: DataFrame) -> DataFrame:
+def _own_hits(articles: DataFrame, tags: DataFrame, most_literals: int | None = None) -> DataFrame:
     """``articles`` with neg and pos, the last disliked and the last liked of their own tags."""
-    names = _literals(tags, LITERAL_OWN_TAGS)
+    names = _literals(tags, LITERAL_OWN_TAGS if most_literals is None else most_literals)
     if names is not None:
         bad, good = names
         own = F.col("tags")
@@ -85,12 +81,13 @@ def _own_hits(articles: DataFrame, tags: DataFrame) -> DataFrame:
     return articles.join(last, "id", "left")
 
 
-def mark_by_tags(articles: DataFrame, tags: DataFrame) -> DataFrame:
+def mark_by_tags(articles: DataFrame, tags: DataFrame, most_literals: int | None = None) -> DataFrame:
     """(id, score, reason) from the articles' own tags.
 
-    The last matching tag of each polarity counts; a name on both sides counts as disliked.
+    The last matching tag of each polarity counts; a name on both sides counts as disliked. Tag tables
+    of more than ``most_literals`` rows are joined by name.
     """
-    found = _own_hits(articles.select("id", "tags"), tags)
+    found = _own_hits(articles.select("id", "tags"), tags, most_literals)
     return found.select("id", *[c.alias(k) for k, c in _mark(F.col("neg"), F.col("pos"), TAG_SCORE).items()])
 
 
@@ -105,60 +102,68 @@ def _first_in_text(text: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.when(text.contains(n), F.lit(n)) for n in names])
 
 
-def _automaton_hits(names: list[tuple[str, bool]]):
-    """Column function: the earliest disliked and the earliest liked name in a text's title case."""
+def _prefix_length(name: Column) -> Column:
+    """Largest power of two that is not above the length of a name: few lengths, at least half of every name."""
+    return F.pow(F.lit(2), F.floor(F.log2(F.char_length(name)))).cast("int")
+
+
+def _pieces(text: Column, length: int, heads: list[str] | None) -> Column:
+    """Distinct pieces of ``length`` characters that begin with one of ``heads``, or anywhere without them."""
+    head = "." if heads is None else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in heads) + "]"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({head}.{{{length - 1}}}))"), F.lit(1)))
 
-    @F.pandas_udf("neg string, pos string")
-    def first_hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from operator import itemgetter
 
-        import ahocorasick
+_FIRST = "struct<tag_id:bigint,name:string>"
 
-        automaton = ahocorasick.Automaton()
-        for at, (name, bad) in enumerate(names):
-            automaton.add_word(name, automaton.get(name, {}) | {bad: automaton.get(name, {}).get(bad, at)})
-        # a name may stand on both sides: (disliked, liked) positions, infinite where absent
-        for name in list(automaton.keys()):
-            sides = automaton.get(name)
-            automaton.add_word(name, (sides.get(True, math.inf), sides.get(False, math.inf)))
-        automaton.make_automaton()
 
-        def search(text):
-            found = set(map(itemgetter(1), automaton.iter(text.title()))) if text else ()
-            firsts = [min((f[side] for f in found), default=math.inf) for side in (0, 1)]
-            return [names[at][0] if at < math.inf else None for at in firsts]
+def _first_of_side(bad: bool) -> Column:
+    return F.min(F.when(F.col("bad") == bad, F.struct(F.col("tag_id").cast("long").alias("tag_id"), "name")))
 
-        for texts in batches:
-            yield pd.DataFrame([search(t) for t in texts], columns=["neg", "pos"], dtype=object)
 
-    # computed once, not copied into filters
-    return first_hits.asNondeterministic()
+def _joined_hits(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """``texts`` with neg and pos, from a join of the distinct leading pieces of every position with tag prefixes.
+
+    A prefix holds at least half of its name, so few names that are not in the text become candidates;
+    ``contains`` decides. Texts are stored once and meet only their candidates.
+    """
+    polar = _polar(tags)
+    prefixes = polar.where("name <> ''").withColumn("size", _prefix_length(F.col("name"))).withColumn("piece", F.left("name", F.col("size")))
+    # a row for each power of two up to the longest name
+    sizes = prefixes.groupBy("size").agg(F.slice(F.collect_set(F.left("piece", F.lit(1))), 1, LITERAL_HEADS + 1).alias("heads")).collect()
+    searched = materialize(texts.where("text is not null").select("id", title_case(F.col("text")).alias("text")), "searched")
+    prefixes, _ = broadcast_if_small(prefixes.drop("size"))
+    hits = searched.limit(0).select("id", *[F.lit(None).cast(_FIRST).alias(side) for side in ("no", "yes")])
+    if sizes:
+        pieces = None
+        for row in sizes:
+            heads = sorted(row["heads"]) if len(row["heads"]) <= LITERAL_HEADS else None
+            found = searched.select("id", F.explode(_pieces(F.col("text"), row["size"], heads)).alias("piece"))
+            pieces = found if pieces is None else pieces.union(found)
+        candidates = pieces.join(prefixes, "piece").select("id", "tag_id", "name", "bad")
+        verified = candidates.join(searched, "id").where(F.col("text").contains(F.col("name")))
+        hits = verified.groupBy("id").agg(_first_of_side(True).alias("no"), _first_of_side(False).alias("yes"))
+    everywhere = polar.where("name = ''").agg(_first_of_side(True).alias("no"), _first_of_side(False).alias("yes")).first()
+
+    def name_of(side: str) -> Column:
+        own = F.col(side)
+        if everywhere[side] is not None:
+            empty = F.lit(everywhere[side]["tag_id"])
+            return F.when(own["tag_id"] < empty, own["name"]).when(F.col("searchable"), "")
+        return own["name"]
+
+    rest = texts.withColumn("searchable", F.col("text").isNotNull()).drop("text").join(hits, "id", "left")
+    return rest.withColumns({"neg": name_of("no"), "pos": name_of("yes")}).drop("searchable", "no", "yes")
 
 
 def _text_hits(texts: DataFrame, tags: DataFrame) -> DataFrame:
     """``texts`` with neg and pos, the first disliked and the first liked tag in column ``text``."""
     names = _literals(tags, LITERAL_TEXT_TAGS)
-    if names is not None:
-        bad, good = names
-        texts = texts.withColumn("text", title_case(F.col("text")))
-        text = F.col("text")
-        return texts.select("*", _first_in_text(text, bad).alias("neg"), _first_in_text(text, good).alias("pos"))
-    polar = _polar(tags)
-    none = F.lit(None).cast("string")
-    texts = texts.withColumns({"neg": none, "pos": none})
-    block = polar
-    while rows := block.orderBy("tag_id", "name", "bad").limit(AUTOMATON_TAGS).collect():
-        # only texts that still miss a side are searched again
-        open_text = F.when(F.col("neg").isNull() | F.col("pos").isNull(), F.col("text"))
-        texts = texts.withColumn("hit", _automaton_hits([(r["name"], r["bad"]) for r in rows])(open_text))
-        texts = texts.withColumns(
-            {"neg": F.coalesce("neg", "hit.neg"), "pos": F.coalesce("pos", "hit.pos")}
-        ).drop("hit")
-        if len(rows) < AUTOMATON_TAGS:
-            break
-        last = F.struct(*[F.lit(rows[-1][f.name]).cast(f.dataType).alias(f.name) for f in polar.schema.fields])
-        block = polar.where(F.struct(*polar.columns) > last)
-    return texts
+    if names is None:
+        return _joined_hits(texts, tags)
+    bad, good = names
+    texts = texts.withColumn("text", title_case(F.col("text")))
+    text = F.col("text")
+    return texts.select("*", _first_in_text(text, bad).alias("neg"), _first_in_text(text, good).alias("pos"))
 
 
 def mark_by_text(articles: DataFrame, tags: DataFrame) -> DataFrame:
@@ -171,9 +176,14 @@ def mark_by_text(articles: DataFrame, tags: DataFrame) -> DataFrame:
     return found.select("id", *[c.alias(k) for k, c in _mark(F.col("neg"), F.col("pos"), TITLE_SCORE).items()])
 
 
+def set_by_user(agent: Column) -> Column:
+    """Whether a person set the row, in any spelling of the agent."""
+    return F.lower(F.coalesce(agent, F.lit(""))) == "user"
+
+
 def guard_user_rows(articles: DataFrame) -> DataFrame:
-    """Fail the job when a row set by a person, in any spelling, would be rescored."""
-    by_user = F.lower(F.coalesce("agent", F.lit(""))) == "user"
+    """Fail the job when a row set by a person would be rescored."""
+    by_user = set_by_user(F.col("agent"))
     stop = F.raise_error(F.concat(F.lit("about to rescore a row set by a user, id "), F.col("id").cast("string")))
     return articles.where(F.when(by_user, stop.cast("boolean")).otherwise(F.lit(True)))
 

@@ -31,6 +31,11 @@ def ingest(
     other publications only add links that are not known yet.
     """
     collected = materialize(collect(entries, as_of, drop_feed_on_bad_date), "collected")
+    return merge_collected(articles, collected, as_of, updating_publication)
+
+
+def merge_collected(articles: DataFrame, collected: DataFrame, as_of: datetime, updating_publication: str) -> DataFrame:
+    """The article table with stored ``collected`` entries merged in."""
     updating, others = split_by_publication(collected, updating_publication)
     merged = update_title_and_summary(articles, updating)
     # both kinds add the links that are not known yet

@@ -26,7 +26,6 @@ from newsloom.plans.ranking import top_results
 from newsloom.schema import ARTICLE, TAGGING_RESULT, conform
 from newsloom.session import configure, instant, materialize, scratch_path
 from newsloom.sources import feeds, payloads, publications, tables
-from newsloom.streaming.feed_stream import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +58,13 @@ def time_text(col: Column | str, name: str) -> Column:
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
+def vector_digest(name: str) -> list[Column]:
+    """Length of a vector and the sum of its components times their places."""
+    parts = F.transform(name, lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    return [F.size(name).cast("long").alias("dims"), F.round(total, 3).alias("weighted")]
+
+
 def distance(name: str = "distance") -> Column:
     return F.round("distance", 6).alias(name)
 
@@ -175,7 +181,7 @@ def classified_without_embedding(spark, sf):
 
 @query
 def training_set(spark, sf):
-    return sel.training_set(dv.articles(spark, sf)).select("id", "score", F.size("embedding2").cast("long").alias("dims"))
+    return sel.training_set(dv.articles(spark, sf)).select("id", "score", *vector_digest("embedding2"))
 
 
 @query
@@ -362,14 +368,13 @@ def entries_per_publication(spark, sf):
     return counters.entries_per_publication(ingest.collect(dv.entries(spark, sf), AS_OF))
 
 
-def _land(spark, sf):
-    """Write the entries as RSS files of their feeds; returns the folder and the feeds."""
-    rows = dv.entries(spark, sf)
+def land(spark, rows):
+    """Write entries as RSS files of their feeds, in their order; returns the folder and the feeds."""
     known = rows.select("feed_publication", "pub_ord", "url_ord", "feed_url").distinct().withColumn(
         "feed_key", publications.feed_key(F.col("feed_url"))
     )
     root = scratch_path(spark, "landed")
-    items = rows.select(
+    items = rows.orderBy("entry_ord").select(
         publications.feed_key(F.col("feed_url")).alias("feed_key"),
         F.col("entry_id").alias("guid"), "title", "link", "comments", F.col("summary").alias("description"),
         F.col("published").alias("pubDate"), "author",
@@ -380,7 +385,7 @@ def _land(spark, sf):
 
 @query
 def feed_files(spark, sf):
-    root, known = _land(spark, sf)
+    root, known = land(spark, dv.entries(spark, sf))
     got = feeds.read_feed_files(spark, root, known)
     return got.select(
         "feed_publication", "feed_url", "entry_id", "title", "link", "comments", "summary", "author",
@@ -388,15 +393,6 @@ def feed_files(spark, sf):
     )
 
 
-@query
-def streamed_entries(spark, sf):
-    root, known = _land(spark, sf)
-    out = scratch_path(spark, "streamed")
-    start_ingest(spark, root, known, out, scratch_path(spark, "stream-state"), AS_OF).awaitTermination()
-    # which of the entries with one link came first depends on the files, their link does not
-    return spark.read.schema(ARTICLE).parquet(out).select("link", time_text("created_at", "created_at"))
-
-
 # --- rules ------------------------------------------------------------------------------------
 
 
@@ -411,7 +407,8 @@ def tag_marks(spark, sf):
 
 @query
 def tag_marks_many_tags(spark, sf):
-    return _marks(rules.mark_by_tags(_worded(spark, sf), dv.word_tags(spark, sf)))
+    """The join by name, taken here by allowing no tags in the plan."""
+    return _marks(rules.mark_by_tags(_worded(spark, sf), dv.word_tags(spark, sf), most_literals=0))
 
 
 def _worded(spark, sf):
@@ -516,7 +513,7 @@ def ingested_articles(spark, sf):
 def embeddings_saved(spark, sf):
     a = dv.articles(spark, sf)
     new = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.reverse("embedding").alias("embedding2"))
-    return merges.save_embeddings(a, new).select("id", F.round(F.get("embedding2", F.lit(0)).cast("double"), 5).alias("first"))
+    return merges.save_embeddings(a, new).select("id", *vector_digest("embedding2"))
 
 
 @query

@@ -18,6 +18,12 @@ def _time(expr: str, name: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S') AS {name}"
 
 
+def _vector(v: str) -> str:
+    parts = f"list_transform({v}, lambda x, i: CAST(x AS DOUBLE) * i)"
+    return f"""CASE WHEN {v} IS NULL THEN NULL ELSE len({v}) END AS dims,
+      CASE WHEN {v} IS NOT NULL THEN round(list_sum({parts}), 3) END AS weighted"""
+
+
 # --- neighbours -------------------------------------------------------------------------------
 
 _DISTANCE = (
@@ -132,7 +138,7 @@ ORACLE["classified_without_embedding"] = (
     _A + f"SELECT id, {_digest(_COMBINED, 'combined')} FROM article WHERE agent = 'USER' AND embedding2 IS NULL"
 )
 ORACLE["training_set"] = (
-    _A + "SELECT id, score, len(embedding2) AS dims FROM article WHERE agent = 'USER' AND embedding2 IS NOT NULL"
+    _A + f"SELECT id, score, {_vector('embedding2')} FROM article WHERE agent = 'USER' AND embedding2 IS NOT NULL"
 )
 ORACLE["embedding_dry_run"] = _A + "SELECT id, true AS still_empty FROM article WHERE embedding2 IS NULL"
 ORACLE["update_records"] = _A + "SELECT id, agent, score, CAST(NULL AS BIGINT) AS ai_score FROM article"
@@ -262,7 +268,6 @@ ORACLE["feed_files"] = (
       concat('https://news.ycombinator.com/item/', entry_ord) ELSE concat('urn:x:', entry_ord) END AS entry_id,
       title, link, comments, summary, author, {_time('published_parsed', 'published_at')} FROM entry"""
 )
-ORACLE["streamed_entries"] = _N + f"SELECT link, {_time(AS_OF_SQL, 'created_at')} FROM collected"
 
 # --- rules ------------------------------------------------------------------------------------
 
@@ -342,8 +347,9 @@ def _upserted(updates: str, extra: str = "", extra_new: str = "") -> str:
 ORACLE["upserted_articles"] = _upserted("")
 ORACLE["ingested_articles"] = _upserted("WHERE publication = 'HackerNews'", ", NULL AS publication", ", publication")
 ORACLE["embeddings_saved"] = (
-    _A + """SELECT a.id, round(CAST(CASE WHEN e.vec_id IS NULL THEN a.embedding2[1] ELSE e.embedding[-1] END AS DOUBLE), 5) AS first
-    FROM article a LEFT JOIN embeddings e ON a.id = e.vec_id"""
+    _A + f"""SELECT id, {_vector('saved')} FROM (SELECT a.id,
+      CASE WHEN e.vec_id IS NULL THEN a.embedding2 ELSE list_reverse(e.embedding) END AS saved
+    FROM article a LEFT JOIN embeddings e ON a.id = e.vec_id)"""
 )
 ORACLE["records_saved"] = (
     _A + """SELECT a.id, CASE WHEN l.doc_id IS NULL THEN a.agent WHEN l.toxic = 1 THEN 'AI' END AS agent,

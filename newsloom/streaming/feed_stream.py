@@ -1,4 +1,4 @@
-"""Incremental ingest of landed feed files."""
+"""Incremental ingest of landed feed documents."""
 
 from __future__ import annotations
 
@@ -9,33 +9,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.operators.entries import collect_entries, normalize_entries
-from newsloom.operators.merges import insert_absent
-from newsloom.schema import ARTICLE
 from newsloom.session import materialize
-from newsloom.sources.feeds import attach_feeds, number_rows, stream_feed_files
-from newsloom.sources.tables import _file_system, append_rows
+from newsloom.sources.feeds import attach_feeds, feed_records, split_damaged, stream_feed_documents, with_dates
+from newsloom.sources.tables import append_rows
+from newsloom.streaming.link_table import BUCKETS, merge_entries
 
 
-def _known_articles(spark: SparkSession, path: str) -> DataFrame:
-    fs, root = _file_system(spark, path)
-    if not fs.exists(root):
-        return spark.createDataFrame([], ARTICLE)
-    return spark.read.schema(ARTICLE).parquet(path)
+def _batch_time(batch: DataFrame) -> datetime | None:
+    """Time of the micro-batch as the stream recorded it: the same when the batch is run again."""
+    micros = batch.agg(F.max(F.unix_micros("read_at"))).first()[0]
+    return None if micros is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
 
 
-def ingest_batch(batch: DataFrame, feeds: DataFrame, table: str, as_of: datetime | None = None) -> None:
-    """Clean one micro-batch and append the links the table does not have.
+def ingest_batch(
+    batch: DataFrame,
+    feeds: DataFrame,
+    table: str,
+    as_of: datetime | None = None,
+    updating_publication: str | None = None,
+    rejects: str | None = None,
+    buckets: int = BUCKETS,
+) -> None:
+    """Parse and clean one micro-batch of documents and bring it into the table.
 
-    A batch that is run again after a failure finds its links in the table and adds nothing.
+    ``as_of`` replaces the time of the batch. Records that are no entry are appended to ``rejects``.
     """
     spark = batch.sparkSession
-    now = as_of
-    if now is None:  # as microseconds, which no zone of the driver machine can shift
-        micros = spark.sql("SELECT unix_micros(current_timestamp())").first()[0]
-        now = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
-    entries = attach_feeds(number_rows(batch), feeds)
-    collected = materialize(collect_entries(normalize_entries(entries, now, only_fresh=True)), "micro-batch")
-    append_rows(insert_absent(_known_articles(spark, table), collected, now), table)
+    now = as_of or _batch_time(batch.select("read_at"))
+    if now is None:
+        return
+    records = materialize(attach_feeds(feed_records(batch), feeds), "batch-records")
+    entries, damaged = split_damaged(records)
+    if rejects is not None:
+        append_rows(damaged.select("feed_key", "entry_ord.file", "entry_ord.place", "damage", "record"), rejects)
+    collected = collect_entries(normalize_entries(with_dates(entries), now, only_fresh=True))
+    merge_entries(spark, table, collected, now, updating_publication, buckets)
 
 
 def start_ingest(
@@ -45,15 +53,21 @@ def start_ingest(
     table: str,
     checkpoint: str,
     as_of: datetime | None = None,
+    updating_publication: str | None = None,
+    rejects: str | None = None,
+    buckets: int = BUCKETS,
     **reading,
 ) -> StreamingQuery:
     """Start a run over everything that has landed since the last one.
 
-    ``reading`` goes to :func:`newsloom.sources.feeds.stream_feed_files`.
+    ``reading`` goes to :func:`newsloom.sources.feeds.stream_feed_documents`; the table is read with
+    :func:`newsloom.streaming.link_table.read_table`.
     """
+    documents = stream_feed_documents(spark, root, **reading).withColumn("read_at", F.current_timestamp())
     return (
-        stream_feed_files(spark, root, **reading)
-        .writeStream.foreachBatch(lambda batch, _id: ingest_batch(batch, feeds, table, as_of))
+        documents.writeStream.foreachBatch(
+            lambda batch, _id: ingest_batch(batch, feeds, table, as_of, updating_publication, rejects, buckets)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -8,6 +8,7 @@ from conftest import values
 from newsloom.operators import counters, entries as en
 from newsloom.plans import ingest
 from newsloom.schema import ENTRY
+from newsloom.session import materialize
 
 AS_OF = datetime(2024, 1, 31, 12, 0, 0, 500_000)
 
@@ -146,3 +147,18 @@ def test_a_link_shared_by_a_third_of_all_rows(spark):
     assert values(got.where("link = 'hot'"), "entry_ord") == [(0,)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_feed_counts_scan_the_entries_once(spark):
+    stored = materialize(en.normalize_entries(make(spark, {}, dict(link="https://e.org/2")), AS_OF), "normalized")
+    plan = counters.feed_counts(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_feed_counts_with_a_third_of_all_rows_on_one_link(spark):
+    rows = spark.range(9000).select(
+        F.lit(0).alias("pub_ord"), F.lit(0).alias("url_ord"), F.col("id").alias("entry_ord"), F.lit(None).cast("string").alias("reject_reason"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("link"), F.lit("s").alias("summary"),
+        F.concat(F.lit("f"), F.col("id") % 2).alias("feed_url"),
+    )
+    assert sorted(values(counters.feed_counts(rows))) == [("f0", 3001, 1499, 0, 0), ("f1", 3000, 1500, 0, 0)]

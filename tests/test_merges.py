@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -138,3 +139,45 @@ def test_new_links_with_a_third_of_all_rows_on_one(spark, articles, path):
     assert got.count() == 6001
     assert values(got.where("link = 'hot'"), "title") == [("0",)]
     assert values(got.agg(F.min("id"), F.max("id"), F.countDistinct("id"))) == [(6, 6006, 6001)]
+
+
+def test_two_writers_cannot_take_one_version(spark, articles):
+    base = session.scratch_path(spark, "two-writers")
+    tables.write_version(articles, base)
+    current = tables.read_version(spark, base, 1)
+    # both read version 1 and write what they made of it
+    assert tables.write_version(current.where("id > 1"), base, expected=1) == 2
+    with pytest.raises(tables.VersionTaken):
+        tables.write_version(current.where("id > 2"), base, expected=1)
+    assert tables.read_version(spark, base).count() == 4
+    assert len([n for n in tables.names_in(spark, base) if n.startswith("data-")]) == 2
+    # changes made at the same time both survive
+    def rename(i):
+        return tables.change_table(spark, base, lambda a: a.withColumn("title", F.when(F.col("id") == i, "new").otherwise(F.col("title"))), attempts=9)
+
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(rename, [2, 3, 4]))
+    assert sorted(versions) == [3, 4, 5]
+    assert values(tables.read_version(spark, base).where("title = 'new'").agg(F.count("*"))) == [(3,)]
+    with ThreadPoolExecutor(4) as pool:
+        appended = list(pool.map(lambda i: tables.append_version(articles.where(F.col("id") == i), base), [1, 2, 3, 4]))
+    assert sorted(appended) == [6, 7, 8, 9] and tables.read_version(spark, base).count() == 8
+
+
+def test_repeated_updates_add_no_rows(spark, articles, path):
+    updates = spark.createDataFrame([(1, "A", 1, 1, 1), (1, "B", 2, 2, 3), (1, "C", 3, 3, 2), (9, "X", 1, 1, 1), (None, "N", 1, 1, 1)],
+                                    "id long, agent string, score int, ai_score int, at int")
+    got = merges.save_records(articles, updates, order=["at"])
+    assert got.count() == 5 and values(got.where("id = 1"), "agent", "score") == [("B", 2)]
+    with pytest.raises(PySparkException, match="different updates for id 1"):
+        merges.save_records(articles, updates).collect()
+    same = updates.where("at = 3").unionByName(updates.where("at = 3"))
+    got = merges.save_records(articles, same)
+    assert got.count() == 5 and values(got.where("id = 1"), "agent", "score") == [("B", 2)]
+
+
+def test_one_id_in_a_third_of_all_equal_updates(spark, articles):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).cast("long").alias("id"),
+                                    F.array(F.lit(1.0), F.lit(2.0)).alias("embedding2"))
+    got = merges.save_embeddings(articles, rows)
+    assert got.count() == 5 and values(got.where("embedding2 is not null"), "id") == [(1,)]

@@ -3,13 +3,14 @@
 import decimal
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
-
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+from newsloom.plans.registered import QUERIES
+from newsloom.plans.registered_sql import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,12 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_only_text_operators_may_lack_sql():
+    without = set(contract.queries()) - set(contract.oracle_sql())
+    assert all(re.fullmatch(r"op\d+_\w+|pipeline", name) for name in without)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, oracle, name):
     df = QUERIES[name](spark, sf_dir)

@@ -17,7 +17,6 @@ def path(request, monkeypatch):
     if request.param == "long table":
         monkeypatch.setattr(rules, "LITERAL_OWN_TAGS", 0)
         monkeypatch.setattr(rules, "LITERAL_TEXT_TAGS", 0)
-        monkeypatch.setattr(rules, "AUTOMATON_TAGS", 3)
 
 
 def articles(spark, *rows):
@@ -100,8 +99,9 @@ def test_rows_of_users_in_other_spellings_stop_the_job(spark, tags):
         rules.run_rules(df, tags, rescore=True).collect()
 
 
-def test_long_tables_agree_with_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(rules, "AUTOMATON_TAGS", 40)
+@pytest.mark.parametrize("heads", [1000, 0])
+def test_long_tables_agree_with_brute_force(spark, monkeypatch, heads):
+    monkeypatch.setattr(rules, "LITERAL_HEADS", heads)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 4)))
     tags = [(i, word().title(), rng.randrange(-2, 3)) for i in range(100)]
@@ -130,3 +130,29 @@ def test_an_own_tag_on_every_article(spark, monkeypatch):
     tags = spark.createDataFrame([(1, "good", 1), (2, "7", -1)], TAGS)
     got = rules.mark_by_tags(df, tags)
     assert sorted(values(got.groupBy("score").count())) == [(0, 1), (10, 19_999)]
+
+
+def test_an_empty_name_is_in_every_text(spark, path):
+    tags = spark.createDataFrame([(1, "News", -1), (2, "", -1), (3, "Late", -1), (4, "Fine", 1)], TAGS)
+    df = articles(spark, ("news", "", ["x"], None, None), ("late", "", [""], None, None), ("fine", "", None, None, None), (None, "x", None, None, None))
+    assert [r[1:] for r in sorted(values(rules.mark_by_text(df, tags)))] == [(-5, "News"), (-5, ""), (0, None), (0, None)]
+    assert [r[1:] for r in sorted(values(rules.mark_by_tags(df, tags)))] == [(0, None), (-10, ""), (0, None), (0, None)]
+
+
+def test_prefixes_of_all_lengths_and_hot_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(rules, "LITERAL_TEXT_TAGS", 0)
+    names = ["A", "Ab", "Abc", "Abcd" * 3, "Thing", "\U0001f600 X", "B" * 40]
+    tags = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names[::-1])] + [(100 + i, f"Hot {i}", -1) for i in range(300)], TAGS)
+    texts = ["zabcz", "x thing", "\U0001f600 x", "b" * 41, "abcd" * 3, "hot 299", "hot 300", ""]
+    df = articles(spark, *[(t, None, None, None, None) for t in texts])
+
+    def first(text, some):
+        return next((n for n in some if n in text.title()), None)
+
+    expected = []
+    for t in texts:
+        neg, pos = first(t, [f"Hot {i}" for i in range(300)]), first(t, names[::-1])
+        expected.append((-5, neg) if neg and not pos else (5, pos) if pos and not neg else (0, None))
+    assert [r[1:] for r in sorted(values(rules.mark_by_text(df, tags)))] == expected
+    plan = rules.mark_by_text(df, tags)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # the title case is stored; nothing else leaves the JVM

@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -6,10 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import values
 from newsloom.operators import counters, selection
-from newsloom.plans import derived_views, enrich, ingest
+from newsloom.plans import derived_views, enrich, ingest, jobs
 from newsloom.schema import ARTICLE, conform
 from newsloom.session import materialize, scratch_path
 from newsloom.sources import feeds, publications, tables
+from newsloom.streaming import feed_stream, link_table
 from newsloom.streaming.feed_stream import start_ingest
 
 AS_OF = datetime(2024, 1, 31)
@@ -65,7 +67,9 @@ def test_feed_files(spark, config):
     assert first["published_parsed"] == datetime(2024, 1, 30, 10) == atom["published_parsed"]
     assert (atom["entry_id"], atom["summary"], atom["feed_tags"]) == ("urn:1", "s", ["t"])
     known = publications.publication_feeds(config)
-    assert feeds.read_feed_files(spark, root, known, atom_files="*.atom").count() == 2
+    assert feeds.read_feed_files(spark, root, known, files="*.atom").count() == 0
+    entries, damaged = feeds.read_feed_output(spark, root, known)
+    assert entries.count() == 3 and values(damaged, "damage") == [("no_entries",)]
 
 
 def test_ingest_files_into_a_table(spark, config):
@@ -87,15 +91,15 @@ def test_stream_equals_batch_and_runs_again(spark, config):
     root, table, state = (scratch_path(spark, n) for n in ("landing", "table", "state"))
     known = materialize(publications.publication_feeds(config), "feeds")
     land(spark, root, [("u1", "a", items(("A", 1), ("B", 2))), ("u4", "a", items(("C", 2), ("D", 3)))])
-    start_ingest(spark, root, known, table, state, AS_OF).awaitTermination()
+    start_ingest(spark, root, known, table, state, AS_OF, buckets=4).awaitTermination()
     batch = ingest.collect(feeds.read_feed_files(spark, root, known), AS_OF)
     columns = ["link", "title", "summary", "author", "publication", "published_at"]
-    assert sorted(values(spark.read.schema(ARTICLE).parquet(table), *columns)) == sorted(values(batch, *columns))
+    assert sorted(values(link_table.read_table(spark, table), *columns)) == sorted(values(batch, *columns))
     land(spark, root, [("u2", "b", items(("E", 4), ("A2", 1))), ("u4", "b", ATOM)])
     start_ingest(spark, root, known, table, state, AS_OF).awaitTermination()
     # the same files under a new checkpoint: everything is known already
     start_ingest(spark, root, known, table, scratch_path(spark, "state"), AS_OF).awaitTermination()
-    got = sorted(values(spark.read.schema(ARTICLE).parquet(table), "link", "title", "id"))
+    got = sorted(values(link_table.read_table(spark, table), "link", "title", "id"))
     assert [g[:2] for g in got] == [(f"https://e.org/{i}", t) for i, t in ((1, "A"), (2, "B"), (3, "D"), (4, "E"))] + [
         ("https://e.org/atom", "Atom &amp; x")
     ]
@@ -121,3 +125,91 @@ def test_recent_articles_use_a_bounded_sort_and_pushed_filters(spark, sf_dir):
     plan = selection.recent(articles, derived_views.AS_OF, ["embedding2"]).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     assert "GreaterThanOrEqual(created_at" in plan and "IsNull(embedding2)" in plan
+
+
+def test_damage_stays_where_it_is(spark):
+    rss = """<?xml version="1.0" encoding="{encoding}"?><rss><channel><title>caf\xe9</title>{items}</channel></rss>"""
+    broken = rss.format(encoding="UTF-8", items="""<item><title>C & D</title><link>https://e/1</link></item>
+        <item><title>G</title><guid>https://e/2</guid><content:encoded><![CDATA[<item> & </item>]]></content:encoded></item>
+        <item><title>N&nbsp;x</title><guid isPermaLink="false">g</guid>
+        <item><title>Bad</link></title></item><!-- <item><title>no</title></item> -->
+        <item><title>Cut""").encode()
+    files = {
+        "a": broken,
+        "b": rss.format(encoding="ISO-8859-1", items="<item><title>caf\xe9</title></item>").encode("latin-1"),
+        "c": b"<rss><item><title>x\xff\x01y</title></item><item/></rss>",
+        "d": rss.format(encoding="UTF-16", items="<item><title>caf\xe9</title></item>").encode("utf-16"),
+        "e": b"<html>gone</html>",
+        "f": b" ",
+        "g": None,
+    }
+    documents = spark.createDataFrame([("k", n, c and bytearray(c)) for n, c in files.items()], "feed_key string, file string, content binary")
+    rows = sorted(values(feeds.feed_records(documents), "entry_ord.file", "entry_ord.place", "title", "link", "summary", "damage", "mended"), key=str)
+    assert rows == [
+        ("a", 0, "C & D", "https://e/1", None, None, True),
+        ("a", 1, "G", "https://e/2", "<item> & </item>", None, False),
+        ("a", 2, "N&nbsp;x", None, None, None, True),
+        ("a", 3, None, None, None, "malformed", False),
+        ("a", 4, None, None, None, "unclosed", False),
+        ("b", 0, "caf\xe9", None, None, None, False),
+        ("c", 0, "x\ufffdy", None, None, None, True),
+        ("c", 1, None, None, None, None, False),
+        ("d", 0, "caf\xe9", None, None, None, False),
+        ("e", 0, None, None, None, "no_entries", False),
+        ("f", 0, None, None, None, "unreadable", False),
+        ("g", 0, None, None, None, "unreadable", False),
+    ]
+    records = feeds.feed_records(documents)
+    assert [r for (r,) in values(records.where("damage = 'unclosed'"), "record")] == ["<item><title>Cut</channel></rss>"]
+    assert feeds.feed_records(documents.limit(0)).count() == 0
+
+
+def test_each_file_is_read_once(spark, config):
+    root = scratch_path(spark, "feeds")
+    land(spark, root, [("u1", "a", items(("A", 1))), ("u2", "a", ATOM)])
+    plan = feeds.read_feed_files(spark, root, publications.publication_feeds(config))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("binaryFile") + plan.count("BinaryFile") == 1 or plan.count("FileScan binaryFile") == 1
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark):
+    table = scratch_path(spark, "bucketed")
+    frame = lambda *links: spark.createDataFrame([(link, f"t {link}", "s", "P") for link in links], "link string, title string, summary string, publication string")
+    link_table.merge_entries(spark, table, frame(*[f"l{i}" for i in range(40)]), AS_OF, buckets=8)
+    link_table.merge_entries(spark, table, frame("l1", "n1", "n2"), AS_OF, updating="P", buckets=99)
+    got = link_table.read_table(spark, table)
+    assert got.count() == 42 and sorted(v for (v,) in values(got, "id")) == list(range(1, 43))
+    plan = link_table.stored_rows(spark, table, [1, 3]).select("link")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [link_bucket" in plan and "ReadSchema: struct<link:string>" in plan
+    assert {r for (r,) in values(link_table.stored_rows(spark, table).select("link_bucket").distinct())} <= set(range(8))
+    # a later title lies over the row, one of another publication doesn't
+    later = frame("l2", "l3").withColumn("title", F.lit("later")).withColumn("publication", F.when(F.col("link") == "l2", "P").otherwise("Q"))
+    link_table.merge_entries(spark, table, later, AS_OF, updating="P")
+    assert sorted(values(link_table.read_table(spark, table).where("link in ('l2', 'l3')"), "link", "title")) == [("l2", "later"), ("l3", "t l3")]
+
+
+def test_ids_are_reserved_once(spark):
+    table = scratch_path(spark, "ids")
+    assert [link_table.reserve_ids(spark, table, n) for n in (5, 1, 10)] == [1, 6, 7]
+    with ThreadPoolExecutor(4) as pool:
+        firsts = list(pool.map(lambda _: link_table.reserve_ids(spark, table, 3), range(8)))
+    assert sorted(firsts) == list(range(17, 17 + 24, 3))
+
+
+def test_damaged_records_of_the_stream_and_its_own_clock(spark, config):
+    root, table, rejects = (scratch_path(spark, n) for n in ("landing", "table", "rejects"))
+    known = materialize(publications.publication_feeds(config), "feeds")
+    land(spark, root, [("u1", "a", "<rss><item><title>Bad</link></title></item></rss>")])
+    start_ingest(spark, root, known, table, scratch_path(spark, "state"), rejects=rejects).awaitTermination()
+    assert values(spark.read.parquet(rejects), "place", "damage") == [(0, "malformed")]
+    batch = spark.createDataFrame([(AS_OF,)], "read_at timestamp")
+    assert feed_stream._batch_time(batch).replace(tzinfo=None) == AS_OF
+    assert feed_stream._batch_time(batch.limit(0)) is None
+
+
+def test_jobs_commit(spark, config):
+    root, base, rejects = (scratch_path(spark, n) for n in ("feeds", "table", "rejects"))
+    land(spark, root, [("u1", "a", items(("New", 1))), ("u4", "a", "<rss><item><title>Bad</link></title></item></rss>")])
+    tables.write_version(spark.createDataFrame([], ARTICLE), base)
+    assert jobs.ingest_job(spark, base, root, config, AS_OF, "P", rejects) == 2
+    assert values(jobs.current(spark, base), "link", "title") == [("https://e.org/1", "New")]
+    assert values(jobs.current(spark, rejects), "damage") == [("malformed",)]

@@ -145,3 +145,37 @@ def test_short_texts_and_combined(spark):
 )
 def test_parse_published(apply_to, text, iso):
     assert apply_to(lambda c: F.date_format(parse_published(c), "yyyy-MM-dd HH:mm:ss"), [text]) == [iso]
+
+
+@pytest.mark.parametrize(
+    "text, iso",
+    [
+        ("30 Jan 2024 10:20 GMT", "2024-01-30 10:20:00"),
+        ("Tue, 30 Jan 24 10:20:30 EST", "2024-01-30 15:20:30"),
+        ("Tue, 30 Jan 95 10:20:30 UT", "1995-01-30 10:20:30"),
+        ("Tuesday, 30 January 2024 10:20:30 +0530", "2024-01-30 04:50:30"),
+        ("30 Jan 2024 10:20:30", "2024-01-30 10:20:30"),
+        ("Tue Jan 30 10:20:30 2024", "2024-01-30 10:20:30"),
+        ("Tue Jan  3 10:20:30 PST 2024", "2024-01-03 18:20:30"),
+        ("Tue, 30 Jan 2024 10:39:00 EDT", "2024-01-30 14:39:00"),
+        ("Tue, 30 Jan 2024 10:20:30 XYZ", "2024-01-30 10:20:30"),
+        ("Tue, 30 Jan 2024 10:20:30 GMT+1", "2024-01-30 09:20:30"),
+        ("2024-01-30T10:20:30.5-05:00", "2024-01-30 15:20:30"),
+        ("20240130T10:20", "2024-01-30 10:20:00"),
+        ("2024-01", "2024-01-01 00:00:00"),
+        (" 30 Jan 2024\n", "2024-01-30 00:00:00"),
+        ("Tue, 31 Feb 2024 10:20:30 GMT", None),
+        ("Tue, 30 Foo 2024 10:20:30 GMT", None),
+        ("25:00", None),
+        ("\x01 2024", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_date_forms(apply_to, text, iso):
+    assert apply_to(lambda c: F.date_format(parse_published(c), "yyyy-MM-dd HH:mm:ss"), [text]) == [iso]
+
+
+def test_the_earlier_zone_names_keep_their_offset(apply_to):
+    # the offset of the name, not that of the season
+    assert apply_to(lambda c: F.hour(parse_published(c)), [f"30 {m} 2024 12:00:00 {z}" for m in ("Jan", "Jul") for z in ("EST", "EDT", "CET")]) == [17, 16, 11] * 2

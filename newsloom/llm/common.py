@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Word separators: space and the ASCII controls from tab to carriage return.
 SEPARATORS = "[ \\t-\\r]+"
 WORD = rb"[^ \t-\r]+"
+# Bytes of the Arrow batches that go to Python; Spark's own bound is rows and 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,12 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` on batches of bounded bytes, one row at least."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def map_texts(
     docs: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -34,7 +42,7 @@ def map_texts(
     *extra: Column,
 ) -> DataFrame:
     """Apply an Arrow batch function to ``doc_id`` and ``text``, and ``extra`` columns, alone."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *extra).mapInArrow(function, schema)
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *extra), function, schema)
 
 
 def pieces_of(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import bytes_of, id_remainder, map_texts, pieces_of
+from newsloom.llm.common import bytes_of, id_remainder, map_batches, map_texts, pieces_of
+from newsloom.session import materialize
 
 # A to Z become a to z; separators and ASCII punctuation become spaces.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256)
 )
+# Bytes of text scored at once; the n-grams take some eighty times as much.
+SCORED_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -139,20 +142,25 @@ def log_odds(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """Labelled texts within the bounds of the settings, picked by a hash of the id; repeated ids count once.
+    """``toxic, text`` of labelled documents within the bounds of the settings, picked by a hash of the id.
 
-    Held-out rows (``crc32(doc_id as text) mod 3 = 1``), NULL labels and NULL texts are never part of it.
+    The ids are picked first, from ids and lengths alone; only their texts are then read. Held-out rows
+    (``crc32(doc_id as text) mod 3 = 1``), NULL labels and NULL texts are never part of it, repeated ids count
+    once, with the least of their texts.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(id_remainder(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = docs.where(F.length("text") <= s.sample_chars).select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text"))
-
-    def of_class(label: int) -> DataFrame:
-        rows = usable.join(known.where(F.col("toxic") == label), "doc_id").withColumn("h", F.xxhash64("doc_id"))
-        return rows.orderBy("h", "doc_id", "text").limit(s.sample_rows * (1 if label else s.clean_per_toxic)).select("toxic", "text")
-
-    return of_class(0).unionByName(of_class(1))
+    found = known.join(usable.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    chosen = None
+    for label in (0, 1):
+        count = s.sample_rows * (1 if label else s.clean_per_toxic)
+        part = found.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(count).select("doc_id", "toxic")
+        chosen = part if chosen is None else chosen.union(part)
+    # no more rows than the settings allow
+    chosen = F.broadcast(materialize(chosen, "labelled_ids"))
+    return usable.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -172,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         for whole in batches:
-            for batch in pieces_of(whole, 1 << 20):
+            for batch in pieces_of(whole, SCORED_BYTES):
                 p = 1 / (1 + np.exp(-np.clip(log_odds(bytes_of(batch), model), -50, 50)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array(p >= s.threshold).cast(pa.int32())],
@@ -189,8 +197,8 @@ def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in pieces_of(whole, 1 << 20):
+            for batch in pieces_of(whole, SCORED_BYTES):
                 p = 1 / (1 + np.exp(-np.clip(log_odds(bytes_of(batch), shared.value), -50, 50)))
                 yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -40,9 +40,14 @@ def map_texts(
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
     *extra: Column,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Apply an Arrow batch function to ``doc_id`` and ``text``, and ``extra`` columns, alone."""
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *extra), function, schema)
+    """Apply an Arrow batch function to ``doc_id`` and ``text``, and ``extra`` columns, alone.
+
+    ``bounded`` keeps batches small, for functions that need many times the memory of their input.
+    """
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *extra)
+    return map_batches(texts, function, schema) if bounded else texts.mapInArrow(function, schema)
 
 
 def pieces_of(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD, bytes_of, map_texts, pieces_of
+from newsloom.llm.common import WORD, bytes_of, map_batches, map_texts, pieces_of
 from newsloom.llm.components import connected_components
 from newsloom.session import broadcast_if_small, materialize
 
 WORDS = re.compile(WORD)
-# Word hashes that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+# Word hashes that a task remembers, about 20 MB; the memory is emptied when it is full.
+REMEMBERED = 100_000
 PARITY_BITS = 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                     ["doc_id", "n_shingles", "digest", "bands", "parity"],
                 )
 
-    return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>")
+    return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>", bounded=True)
 
 
 def linked(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
@@ -138,7 +138,7 @@ def linked(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     needed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialize(map_texts(needed, sets_of, "doc_id long, shingles binary"), "shingle_sets")
+    sets = materialize(map_texts(needed, sets_of, "doc_id long, shingles binary", bounded=True), "shingle_sets")
 
     def confirm(batches):
         for batch in batches:
@@ -154,7 +154,7 @@ def linked(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 
     sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     sides = sides.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
+    return map_batches(sides.select("a", "b", "x", "y"), confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

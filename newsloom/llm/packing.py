@@ -8,6 +8,7 @@ drawn, so no sequence crosses documents and none needs padding.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -21,8 +22,10 @@ from newsloom.llm.common import map_texts, pieces_of, texts_of
 
 MAX_LENGTH = 1024
 END_TOKEN = 0
-# Chunks whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+# Bytes of chunks and their ids that a worker remembers; the memory is emptied when it is full.
+REMEMBERED = 48 << 20
+# What an entry of that memory takes besides its bytes.
+ENTRY_BYTES = 200
 
 _TOKENIZERS: dict[str, object] = {}
 
@@ -49,12 +52,15 @@ class _KnownChunks(dict):
     """Ids of chunks with a space in front, encoded when first asked for."""
 
     def __init__(self, encode: Callable[[str], list[int]], remembered: int):
-        self.encode, self.remembered = encode, remembered
+        self.encode, self.remembered, self.held = encode, remembered, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.remembered:
+        ids = packed_ids(self.encode(" " + chunk))
+        self.held += ENTRY_BYTES + len(chunk) + len(ids)
+        if self.held > self.remembered:
             self.clear()
-        self[chunk] = ids = packed_ids(self.encode(" " + chunk))
+            self.held = ENTRY_BYTES + len(chunk) + len(ids)
+        self[chunk] = ids
         return ids
 
 
@@ -73,22 +79,28 @@ class ChunkTokenizer:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        self.path, self.tokenizer = path, None
+        self.special = [t["content"] for t in stored["added_tokens"]]
         table = _byte_of_character()
-        ranks = {
-            bytes(table[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in self.special
-        }
+        ranks = {bytes(table[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in self.special}
         self.encode = tiktoken.Encoding("chunks", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known = _KnownChunks(self.encode, remembered)
 
+    def encode_special(self, text: str) -> list[int]:
+        """By the tokenizer of the file itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for text in texts:
             if any(s in text for s in self.special):
-                yield packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                yield packed_ids(self.encode_special(text))
             elif "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or self.RARE_SPACE.search(text):
                 yield packed_ids(self.encode(text))
             else:
@@ -136,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH) ->
                     ["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
 
-    pieces = map_texts(docs, run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = map_texts(docs, run, "doc_id long, start long, length long, ids binary, doc_tokens long", bounded=True)
     # a piece is a sequence, so any number of its own will do
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 

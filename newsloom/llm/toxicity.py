@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     held_out = (id_remainder(docs["doc_id"], 3) == 1).alias("held_out")
-    return map_texts(docs, run, "doc_id long, held_out boolean, score double, predicted int", held_out)
+    return map_texts(docs, run, "doc_id long, held_out boolean, score double, predicted int", held_out, bounded=True)
 
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,7 +8,9 @@ its ``k`` nearest. No pair table is ever built; tasks keep only the ``k`` best p
   have to skip itself). Groups of copies therefore never multiply.
 * While the recent vectors fit a checked bound they are broadcast and the article table is
   scanned once, without moving a vector (:func:`_scan_join`).
-* Beyond the bound both sides are routed by pivot cells. Triangle and bisector inequalities drop
+* Beyond the bound the recent vectors are dealt into blocks within it, and the table is scanned once for
+  each (:func:`_block_scans`).
+* Beyond a number of such scans both sides are routed by pivot cells. Triangle and bisector inequalities drop
   cells that cannot matter, and a cell with many rows is cut into blocks of bounded size
   (:func:`_cell_join`).
 """
@@ -30,6 +32,8 @@ from newsloom.session import broadcast_if_small, instant, materialize
 # Recent vectors are broadcast up to these bounds (bytes as doubles), else routed by cells.
 BROADCAST_VECTOR_BYTES = 64 * 1024 * 1024
 BROADCAST_VECTOR_ROWS = 200_000
+# Blocks of recent vectors, each a scan of the article table, up to which cells are not worth their shuffles.
+MOST_SCANS = 16
 HOT_COPIES = 10_000
 PIVOTS = 64
 BLOCK_ROWS = 4096
@@ -215,6 +219,22 @@ def _scan_join(spark, u, only_id, vectors, targets: DataFrame, k1: int, single:
     return targets.mapInArrow(scan, _HIT_SCHEMA)
 
 
+def _block_scans(distinct: DataFrame, targets: DataFrame, k1: int, single: bool, scans: int) -> DataFrame:
+    """Scan the targets once for each block of the stored ``distinct`` vectors (u, only_id, vector).
+
+    The driver holds one block at a time, of at most the size that is broadcast anyway.
+    """
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(scans)))
+    hits = None
+    for block in range(scans):
+        rows = dealt.where(F.col("block") == block).select("u", "only_id", "vector").toArrow()
+        if rows.num_rows:
+            vectors = _matrix(rows["vector"], np.float32)
+            found = _scan_join(distinct.sparkSession, rows["u"].to_numpy(), rows["only_id"].to_numpy(), vectors, targets, k1, single)
+            hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
 def _pivot_gaps(pivots: np.ndarray):
     """Column function: distances of a vector to all pivots."""
 
@@ -416,9 +436,11 @@ _SOURCE = ("source_id", "source_score", "source_agent")
 
 
 def _join_owners(
-    with_vector: DataFrame, measured: DataFrame, k1: int, single: bool, pivots: int, block_rows: int
+    with_vector: DataFrame, measured: DataFrame, k1: int, single: bool, pivots: int, block_rows: int, scans: int
 ) -> DataFrame:
-    """Cell join of the distinct vectors, and from vectors back to all articles that hold them.
+    """Join of the distinct vectors, and from vectors back to all articles that hold them.
+
+    With ``scans`` the targets are scanned that many times, without (0) the cells are joined.
 
     A vector held by very many recent articles is a hot key on the way back. There are at most
     ``rows / HOT_COPIES`` of those, so they are broadcast and their articles are not shuffled.
@@ -426,15 +448,19 @@ def _join_owners(
     keyed = with_vector.withColumn("h", F.xxhash64("vector"))
     counted = keyed.groupBy("h", "vector").agg(F.min("source_id").alias("u"), F.count(F.lit(1)).alias("n"))
     only_id = F.when(F.col("n") == 1, F.col("u")).otherwise(F.lit(-1).cast("long"))
-    pivot = _pivots(measured, pivots)
-    gaps = _pivot_gaps(pivot)
+    if scans:
+        distinct = materialize(counted.withColumn("only_id", only_id), "recent-vectors")
+        hits = _block_scans(distinct, measured, k1, single, scans)
+    else:
+        pivot = _pivots(measured, pivots)
+        gaps = _pivot_gaps(pivot)
 
-    def placed(vectors: DataFrame, name: str) -> DataFrame:
-        return materialize(vectors.withColumn("gaps", gaps("vector")).withColumn("cell", _own_cell()), name)
+        def placed(vectors: DataFrame, name: str) -> DataFrame:
+            return materialize(vectors.withColumn("gaps", gaps("vector")).withColumn("cell", _own_cell()), name)
 
-    distinct = placed(counted.withColumn("only_id", only_id), "recent-vectors")
-    targets = placed(_distinct_vectors(measured, k1).select("u", "vector", "members"), "all-vectors")
-    hits = _cell_join(distinct, targets, pivot, k1, single, block_rows)
+        distinct = placed(counted.withColumn("only_id", only_id), "recent-vectors")
+        targets = placed(_distinct_vectors(measured, k1).select("u", "vector", "members"), "all-vectors")
+        hits = _cell_join(distinct, targets, pivot, k1, single, block_rows)
     lists = materialize(_hit_lists(hits, k1), "nearest")
 
     key = ["h", "vector"]
@@ -463,6 +489,7 @@ def nearest_neighbors(
     broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
     pivots: int = PIVOTS,
     block_rows: int = BLOCK_ROWS,
+    most_scans: int = MOST_SCANS,
 ) -> DataFrame:
     """The ``k`` nearest pairs (recent article, other article), over all or per recent article.
 
@@ -493,7 +520,10 @@ def nearest_neighbors(
         owners = F.broadcast(spark.createDataFrame(named))
         found = _hit_lists(hits, k1).join(owners, "u")
     else:
-        found = _join_owners(with_vector, measured, k1, not per_article, pivots, block_rows)
+        # the bounds in vectors, half full, so that blocks dealt by hash stay below them
+        held = min(BROADCAST_VECTOR_ROWS, broadcast_bytes // (shape["d"] * 8 or 1)) // 2
+        scans = -(-n // held) if held else most_scans + 1
+        found = _join_owners(with_vector, measured, k1, not per_article, pivots, block_rows, scans if scans <= most_scans else 0)
     if found is None:
         found = spark.createDataFrame([], _PAIR_SCHEMA)
     else:

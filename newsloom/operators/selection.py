@@ -72,15 +72,18 @@ def with_short_texts(articles: DataFrame) -> DataFrame:
     )
 
 
-def prepare_for_models(articles: DataFrame) -> DataFrame:
-    """Add title_short, summary_short, has_bad_content and combined; drop rows without text."""
-    c = F.col
+def prepare_for_models(articles: DataFrame, use_short: bool = False) -> DataFrame:
+    """Add title_short, summary_short, has_bad_content and combined; drop rows without text.
+
+    ``use_short`` combines the shortened title and summary in place of the full ones.
+    """
+    c, suffix = F.col, "_short" if use_short else ""
     return (
         with_short_texts(articles)
         .withColumns(
             {
                 "has_bad_content": has_bad_content(c("title_short"), c("summary_short")),
-                "combined": combined_text(c("publication"), c("title"), c("summary"), c("author")),
+                "combined": combined_text(c("publication"), c(f"title{suffix}"), c(f"summary{suffix}"), c("author")),
             }
         )
         .where("combined is not null")

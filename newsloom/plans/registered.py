@@ -99,6 +99,16 @@ def neighbor_pairs_by_cells(spark, sf):
     return pairs.select("source_id", "neighbor_id", "neighbor_score", distance())
 
 
+@query
+def neighbor_pairs_by_blocks(spark, sf):
+    """The path for more recent vectors than a broadcast may hold, taken here by allowing few."""
+    a = dv.articles(spark, sf)
+    # a third of the recent vectors, at 64 doubles each
+    recent = a.where(F.col("created_at") >= instant(AS_OF) - F.expr("interval 2 days")).where("embedding2 is not null").count()
+    pairs = nearest_neighbors(a, AS_OF, per_article=True, keep_missing=False, broadcast_bytes=max(1024, recent * 512 // 3))
+    return pairs.select("source_id", "neighbor_id", "neighbor_score", distance())
+
+
 @query
 def neighbor_scores_per_article(spark, sf):
     pairs = nearest_neighbors(dv.articles(spark, sf), AS_OF, per_article=True)

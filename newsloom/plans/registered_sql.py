@@ -63,6 +63,7 @@ ORACLE["neighbor_pairs_global"] = _nearest(False) + _SHOW_PAIRS
 ORACLE["neighbor_pairs_per_article"] = _nearest(True) + _SHOW_PAIRS
 ORACLE["neighbor_pairs_with_vectors"] = _nearest(True, False) + _SHOW_PAIRS
 ORACLE["neighbor_pairs_by_cells"] = _nearest(True, False) + _SHOW_PAIRS
+ORACLE["neighbor_pairs_by_blocks"] = _nearest(True, False) + _SHOW_PAIRS
 ORACLE["neighbor_scores_per_article"] = (
     _nearest(True) + _SCORED + "SELECT source_id, source_score, round(calculated_score, 6) AS calculated_score FROM scored"
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from newsloom.plans import jobs
 from newsloom.plans.derived_views import AS_OF, AS_OF_SQL, HACKER_NEWS, table
 from newsloom.plans.ranking import top_results
 from newsloom.plans.registered import land, query, time_text
-from newsloom.plans.registered_sql import _A, _CARRIED, _COMBINED, _FROM, _RECENT, _RESULT, _SCORED, _UPDATES, ORACLE, _nearest, _time, _vector
+from newsloom.plans.registered_sql import _A, _CARRIED, _COMBINED, _FROM, _RECENT, _RESULT, _SCORED, _SHORT, _UPDATES, ORACLE, _digest, _nearest, _time, _vector
 from newsloom.plans import registered as base_queries
 from newsloom.schema import ARTICLE, conform
 from newsloom.session import materialize, scratch_path
@@ -86,6 +88,16 @@ def first_embedded_articles(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["first_embedded_articles"] = _A + f"SELECT id, length({_COMBINED}) AS length FROM article WHERE embedding2 IS NULL ORDER BY id LIMIT 50"
 
 
+@query
+def combined_short_texts(spark: SparkSession, sf: str) -> DataFrame:
+    ready = sel.prepare_for_models(dv.articles(spark, sf), use_short=True)
+    return base_queries.digest(ready, "id", combined=F.col("combined"))
+
+
+_COMBINED_SHORT = re.sub(r"\b(title|summary)\b", r"\1_short", _COMBINED)
+ORACLE["combined_short_texts"] = _A + f", {_SHORT} SELECT id, {_digest(_COMBINED_SHORT, 'combined')} FROM short"
+
+
 @query
 def top_results_order(spark: SparkSession, sf: str) -> DataFrame:
     """The places of the ranked articles as the result is read."""

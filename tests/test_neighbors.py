@@ -11,7 +11,7 @@ from newsloom.plans.ranking import top_results
 
 AS_OF = datetime(2024, 1, 31)
 SCHEMA = "id long, created_at timestamp, agent string, score int, embedding2 array<float>"
-PATHS = [{}, dict(broadcast_bytes=0, pivots=5, block_rows=16)]
+PATHS = [{}, dict(broadcast_bytes=0, pivots=5, block_rows=16), dict(broadcast_bytes=1500, most_scans=99)]
 
 
 def make(spark, vectors, recent=lambda i: i % 3 == 0, agent=lambda i: "AI"):

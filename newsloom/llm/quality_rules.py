@@ -25,21 +25,44 @@ SYMBOLS = "#*$%&|<>"
 class Bands:
     """Limits of the ratios.
 
-    ``by_length``: (bytes from, lowest, highest) in ascending order; shorter documents are not judged by
-    their ratio. A document also goes when more than ``bad_share`` of its full chunks lie outside
-    ``chunk_low`` to ``chunk_high``.
+    ``by_length``: (bytes from, lowest, highest) in ascending order for the ratio of the whole. A document also
+    goes when more than ``bad_share`` of its chunks lie outside ``chunk_low`` to ``chunk_high``. The lower limits
+    lie near the first percentile of texts labelled good among half of the labelled documents; the README has
+    what they reject among the others.
     """
 
     level: int = 3
-    by_length: tuple[tuple[int, float, float], ...] = ((128, 0.30, 1.10), (512, 0.25, 0.85), (2048, 0.20, 0.72))
+    by_length: tuple[tuple[int, float, float], ...] = (
+        (0, 0.45, 1.10),
+        (256, 0.57, 0.90),
+        (384, 0.545, 0.85),
+        (512, 0.535, 0.80),
+        (768, 0.51, 0.75),
+        (1024, 0.48, 0.70),
+        (2048, 0.455, 0.65),
+        (4096, 0.428, 0.60),
+        (8192, 0.405, 0.58),
+        (16384, 0.395, 0.56),
+        (32768, 0.385, 0.55),
+        (65536, 0.36, 0.55),
+        (131072, 0.30, 0.55),
+    )
     chunk_bytes: int = 1024
-    chunk_low: float = 0.20
-    chunk_high: float = 0.75
+    chunk_low: float = 0.505
+    chunk_high: float = 0.70
     bad_share: float = 0.20
     min_words: int = 50
     max_repeated_percent: int = 50
 
 
+def chunk_starts(size: int, chunk: int) -> list[int]:
+    """Starts of chunks that cover every byte: the last one ends with the text and may overlap the one before."""
+    starts = list(range(0, size - chunk + 1, chunk))
+    if starts and starts[-1] + chunk < size:
+        starts.append(size - chunk)
+    return starts
+
+
 def repeated_words(words: list[str]) -> int:
     """Words that lie in a three-word window found twice or more in the text."""
     n = len(words) - 2
@@ -65,16 +88,18 @@ def repeated_lines(text: str) -> int:
 
 
 def inside_bands(raw: bytes, compressor: zstandard.ZstdCompressor, bands: Bands) -> tuple[float | None, float, bool]:
-    """Ratio of the whole (None when empty), share of chunks outside their band, verdict."""
+    """Ratio of the whole (None when empty), share of chunks outside their band, verdict.
+
+    A text shorter than a chunk is judged by its ratio alone.
+    """
     if not raw:
         return None, 0.0, True
     ratio = len(compressor.compress(raw)) / len(raw)
     size = bands.chunk_bytes
-    starts = range(0, len(raw) - size + 1, size)
-    parts = [len(compressor.compress(raw[i : i + size])) / size for i in starts]
+    parts = [len(compressor.compress(raw[i : i + size])) / size for i in chunk_starts(len(raw), size)]
     bad = sum(not bands.chunk_low <= p <= bands.chunk_high for p in parts) / max(1, len(parts))
-    limits = [(low, high) for least, low, high in bands.by_length if len(raw) >= least]
-    good = (not limits or limits[-1][0] <= ratio <= limits[-1][1]) and bad <= bands.bad_share
+    _, low, high = next(x for x in reversed(bands.by_length) if len(raw) >= x[0])
+    good = low <= ratio <= high and bad <= bands.bad_share
     return ratio, bad, good
 
 
@@ -108,4 +133,4 @@ def quality_marks(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                     )
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
-    return map_texts(docs, run, schema)
+    return map_texts(docs, run, schema, bounded=True)

@@ -129,12 +129,66 @@ def test_quality_counts_and_bands(spark, docs, texts, empty):
     rng = random.Random(1)
     noise = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(9)) for _ in range(300))
     dull = " ".join(f"w{k % 7} x{k % 5} y{k % 3} z{k % 2}" for k in range(2000))
-    plain = " ".join(rng.choice(["river", "stone", "walks", "under", "bright", "cold", "and", "the"]) + rng.choice("abcdefgh") for _ in range(400))
+    plain = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400))
     marks = {r["doc_id"]: r for r in quality_rules.quality_marks(frame(spark, [(1, noise), (2, dull), (3, plain)])).collect()}
     assert (marks[1]["kept"], marks[2]["kept"], marks[3]["kept"]) == (False, False, True)
     assert quality_rules.quality_marks(empty).count() == 0
 
 
+def test_quality_verdicts_against_brute_force(spark, sf_dir):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rng = random.Random(4)
+    letters = lambda n, some: "".join(rng.choice(some) for _ in range(n))
+    good = " ".join(letters(rng.randint(2, 9), "etaoinshrdlu") for _ in range(900))
+    extra = {
+        10**6: good[:1023], 10**6 + 1: good[:1024], 10**6 + 2: good[:1025],
+        10**6 + 3: good[:2000] + " " + "ab cd " * 200,  # a dull tail
+        10**6 + 4: good * 400,  # long and repetitive
+        10**6 + 5: " ".join(letters(1, "ab") for _ in range(60)),
+        10**6 + 6: " ".join(chr(rng.randint(0x4E00, 0x9FFF)) * 1 + letters(5, "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000)),
+    }
+    given = docs.select("doc_id", "text").unionByName(frame(spark, list(extra.items())).select("doc_id", "text"))
+    bands, packer = quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
+    rejected = 0
+    for r in quality_rules.quality_marks(given).collect():
+        text = (texts | extra)[r["doc_id"]]
+        raw, size = text.encode(), bands.chunk_bytes
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
+        good_text = True
+        if raw:
+            low, high = [(lo, hi) for least, lo, hi in bands.by_length if len(raw) >= least][-1]
+            good_text = low <= len(packer.compress(raw)) / len(raw) <= high
+        if len(raw) >= size:
+            chunks = [raw[i : i + size] for i in range(0, len(raw), size)]
+            if len(chunks[-1]) < size:
+                chunks[-1] = raw[-size:]
+            bad = [c for c in chunks if not bands.chunk_low <= len(packer.compress(c)) / size <= bands.chunk_high]
+            good_text = good_text and len(bad) <= bands.bad_share * len(chunks)
+        assert r["kept"] == (good_text and not r["base_failed"]), r["doc_id"]
+        rejected += not r["kept"] and not r["base_failed"]
+    assert rejected >= 5
+
+
+def test_quality_bands_follow_the_labels():
+    """On the labelled half that did not choose the limits: few good texts go, most bad ones with a chunk do."""
+    import duckdb
+    import zstandard
+
+    folder = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT d.doc_id, d.text, l.quality FROM '{folder}/documents.parquet' d JOIN '{folder}/labels.parquet' l USING (doc_id) WHERE text <> ''").fetchall()
+    packer, bands, counts = zstandard.ZstdCompressor(level=3), quality_rules.Bands(), Counter()
+    for doc_id, text, quality in rows:
+        w = words(text)
+        if zlib.crc32(str(doc_id).encode()) % 2 == 0 or len(w) < 50 or 2 * quality_rules.repeated_words(w) > len(w) or len(text.encode()) < 1024:
+            continue
+        counts[quality, quality_rules.inside_bands(text.encode(), packer, bands)[2]] += 1
+    assert counts[1, False] <= 0.05 * (counts[1, True] + counts[1, False])
+    assert counts[0, False] >= 0.8 * (counts[0, True] + counts[0, False]) > 0
+
+
 def test_toxicity_learns_subwords(spark, empty):
     rng = random.Random(3)
     clean = ["river", "stone", "walks", "under", "bright", "green", "window", "table"]

@@ -29,10 +29,10 @@ from newsloom.session import broadcast_if_small, materialize, scratch_path
 
 @dataclass(frozen=True)
 class Settings:
-    """Similarity in percent; ``buckets`` (a power of two) is the fixed size of the rarity table."""
+    """Similarity in percent; ``buckets`` (a power of two) is the fixed size of the rarity table, a byte each."""
 
     percent: int = 80
-    buckets: int = 1 << 16
+    buckets: int = 1 << 20
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -65,10 +65,10 @@ def rarity_table(docs: DataFrame, s: Settings) -> list[int]:
 
 def _ranked_words(line: Column, classes: list[int], s: Settings) -> Column:
     """Distinct words of a line as numbers in order of rarity."""
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded into one constant
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")  # folded into one constant
 
     def rank(h: Column) -> Column:
-        rarity = F.get(table, h.bitwiseAND(F.lit(s.buckets - 1)).cast("int"))
+        rarity = F.get(table, h.bitwiseAND(F.lit(s.buckets - 1)).cast("int")).cast("long")
         return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
@@ -136,11 +136,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 
     The later line travels once, to where its partner is, as text: that compresses, hashes of its words don't.
     """
-    lines = lines_of(docs)
     later, _ = broadcast_if_small(pairs, 2_000_000)
     earlier, _ = broadcast_if_small(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line_no")).distinct(), 2_000_000)
-    x = lines.join(later, ["doc_id", "line_no"]).select("doc_id", "line_no", "y_doc", "y_line", F.col("line").alias("x"))
-    y = lines.join(earlier, ["doc_id", "line_no"], "left_semi").select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y"))
+
+    def lines_in(side: DataFrame) -> DataFrame:
+        """Lines of the documents of one side; the others are not cut into lines."""
+        ids, _ = broadcast_if_small(side.select(F.col("doc_id").alias("_id")).distinct(), 2_000_000)
+        return lines_of(docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
+
+    x = lines_in(pairs).join(later, ["doc_id", "line_no"]).select("doc_id", "line_no", "y_doc", "y_line", F.col("line").alias("x"))
+    y = lines_in(earlier).join(earlier, ["doc_id", "line_no"], "left_semi").select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y"))
     # each word list and each intersection is an element of an array, so that it is computed once
     sets = F.array(F.struct(*(F.array_distinct(_words(F.col(c))).alias(c) for c in "xy")))
     sizes = F.transform(sets, lambda p: F.struct((F.size(p.x) + F.size(p.y)).alias("sum"), F.size(F.array_intersect(p.x, p.y)).alias("both")))
@@ -171,15 +176,8 @@ def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> Da
     every = postings.alias("y")
     x, y = ({c: F.col(f"{side}.{c}") for c in columns} for side in "xy")
     later = (y["doc_id"] < x["doc_id"]) | ((y["doc_id"] == x["doc_id"]) & (y["line_no"] < x["line_no"]))
-    rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & later & _of_one_kind(x, y, s))
-    # A pair meets once in each common word of its prefixes. Behind the last of them, and behind the prefix
-    # that ends first, there is only so much left to share.
-    sides = [x[c].alias(f"x_{c}") for c in columns if c != "pos"] + [y[c].alias(f"y_{c}") for c in columns if c != "pos"]
-    rest = rest.groupBy(*sides).agg(F.count(F.lit(1)).alias("common"), F.max(x["pos"]).alias("x_pos"), F.max(y["pos"]).alias("y_pos"))
-    x, y = ({c: F.col(f"{side}_{c}") for c in columns} for side in "xy")
-    behind_prefix = F.greatest(*(side["n"] - _kept(side["n"], s) for side in (x, y)))
-    behind_last = F.least(*(side["n"] - side["pos"] - 1 for side in (x, y)))
-    rest = rest.where(F.col("common") + F.least(behind_prefix, behind_last) >= _needed(x, y, s))
+    # a similar pair passes where its first common word meets, so the other meetings need not be counted
+    rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & later & _may_be_similar(x, y, s))
     rest = rest.select(x["doc_id"].alias("doc_id"), x["line_no"].alias("line_no"), y["doc_id"].alias("y_doc"), y["line_no"].alias("y_line")).distinct()
     rest = materialize(rest.join(pairs, ["doc_id", "line_no", "y_doc", "y_line"], "left_anti"), "line_pairs")
     docs.sparkSession.sql(f"drop table {table}")
@@ -215,11 +213,13 @@ def remove_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Documents that lose nothing stay as they are, also NULL and empty texts and NULL ids.
     """
-    gone = removed_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone, _ = broadcast_if_small(materialize(gone.withColumnRenamed("doc_id", "_doc"), "lines_by_document"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda line, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    kept = joined.withColumn("text", text).where(F.col("_gone").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
-    return kept.select(*docs.columns)
+    gone = removed_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone, _ = broadcast_if_small(materialize(gone, "lines_by_document"))
+    # the table's own columns stay in one struct, whatever they are called
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"))
+    joined = whole.join(gone, "doc_id", "left")
+    lines = F.split("row.text", "\n", -1)
+    left = F.filter(lines, lambda line, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    kept = joined.withColumn("left", text).where(F.col("gone").isNull() | F.col("left").rlike(r"[^ \t-\r]"))
+    return kept.select(*(F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bytes_of, id_remainder, map_texts, pieces_of
+from newsloom.session import broadcast_if_small, materialize
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -128,22 +129,26 @@ def train(windows: list[tuple[str, bytes]], s: Settings) -> Model:
     fw, bw = fresh(), fresh()
     out, bias = rng.normal(0, 0.3, (2 * n, k)).astype(np.float32), np.zeros(k, np.float32)
     model = Model(languages, fw, bw, out, bias, s)
-    usable = [(languages.index(lang), text) for lang, text in windows if len(text) >= s.window]
-    if k < 2 or not usable:
+    usable = [(languages.index(lang), text) for lang, text in windows]
+    if k < 2:
         return model
     params = [fw["x"], fw["u"], bw["x"], bw["u"], out, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, s.steps + 1):
         chosen = rng.integers(0, len(usable), s.batch)
-        starts = [rng.integers(0, len(usable[i][1]) - s.window + 1) for i in chosen]
-        data = np.stack([np.frombuffer(usable[i][1], np.uint8, s.window, a) for i, a in zip(chosen, starts, strict=True)], 1)
+        starts = [rng.integers(0, max(1, len(usable[i][1]) - s.window + 1)) for i in chosen]
+        # shorter texts are filled with spaces, which have no label
+        pieces = [usable[i][1][a : a + s.window] for i, a in zip(chosen, starts, strict=True)]
+        data = np.stack([np.frombuffer(x.ljust(s.window), np.uint8) for x in pieces], 1)
+        labelled = np.arange(s.window)[:, None] < np.array([len(x) for x in pieces])
         y = np.array([usable[i][0] for i in chosen])
         hf, tf = _gates(data, fw, True)
         hb, tb = _gates(data[::-1], bw, True)
         h = np.concatenate([hf, hb[::-1]], axis=2)
         p = _softmax(h @ out + bias)
         p[:, np.arange(s.batch), y] -= 1
-        p /= p.shape[0] * p.shape[1]
+        p *= labelled[:, :, None]
+        p /= labelled.sum()
         dh = p @ out.T
         gf, gb = _gates_back(data, fw, tf, dh[:, :, :n]), _gates_back(data[::-1], bw, tb, dh[::-1, :, n:])
         grads = [gf["x"], gf["u"], gb["x"], gb["u"], np.tensordot(h, p, ([0, 1], [0, 1])), p.sum((0, 1))]
@@ -201,13 +206,21 @@ def probabilities(texts: list[bytes], model: Model, rows: int = 1024) -> np.ndar
 def labelled_windows(docs: DataFrame, s: Settings) -> DataFrame:
     """One window of each of at most ``sample_windows`` documents per language, picked by a hash of the id.
 
-    Held-out rows (``crc32(doc_id as text) mod 4 = 2``), NULL ids, languages and texts are never part of it.
+    Rows whose hash lies above a limit, set from the language's count, cannot be among the smallest and are left out
+    before they move; the limit lets through some four times the sample, so that it is full all but surely. Held-out rows (``crc32(doc_id as text) mod 4 = 2``), NULL ids, languages and texts are never part of it.
     """
     place = F.expr(f"1 + pmod(xxhash64(doc_id, 1), greatest(1, length(text) - {s.sample_chars} + 1))")
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(id_remainder(F.col("doc_id"), 4) != 2)
     rows = known.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").substr(place.cast("int"), F.lit(s.sample_chars)).alias("piece"))
+    rows = rows.where("length(piece) > 0")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"))  # a row per language
+    # of all 2^64 hashes, from the least on
+    share = F.least(F.lit(1.0), (4 * s.sample_windows + 200) / F.col("count"))
+    limits = counts.select(F.col("lang").alias("_lang"), (F.lit(-float(2**63)) + share * float(2**64)).alias("_limit"))
+    limits, _ = broadcast_if_small(materialize(limits, "language_limits"))
+    rows = rows.join(limits, F.col("lang") == F.col("_lang")).where(F.col("h").cast("double") <= F.col("_limit"))
     order = Window.partitionBy("lang").orderBy("h", "piece")
-    return rows.where("length(piece) > 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.sample_windows)
+    return rows.select("lang", "h", "piece", F.row_number().over(order).alias("n")).where(F.col("n") <= s.sample_windows)
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:

@@ -32,7 +32,7 @@ class Settings:
     """Similarity in percent; ``buckets`` (a power of two) is the fixed size of the rarity table, a byte each."""
 
     percent: int = 80
-    buckets: int = 1 << 20
+    buckets: int = 1 << 18
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 # A join side is broadcast only when one aggregate pass has shown it to be below both bounds.
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Bytes of the Arrow batches that go to Python; a worker holds a batch several times over, as Arrow and as objects.
+ARROW_BATCH_BYTES = 4 * 1024 * 1024
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on (time zone, ANSI errors) and turn on AQE."""
+    """Pin the settings the results depend on (time zone, ANSI errors), turn on AQE and bound Arrow batches."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.ansi.enabled", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     return spark
 
 

@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import values
@@ -29,3 +30,12 @@ def test_scratch_goes_to_the_configured_folder(spark):
     stored = session.materialize(spark.range(10), "test")
     assert values(stored.agg(F.sum("id"))) == [(45,)]
     assert all(configured.removeprefix("file:") in f for f in stored.inputFiles())
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    @F.pandas_udf("long")
+    def batch_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+    assert long.select(batch_bytes("t").alias("n")).agg(F.max("n")).first()[0] <= 5_000_000  # of 40 million

@@ -49,12 +49,15 @@ def _land_damaged(spark: SparkSession, sf: str) -> str:
     numbered = pages.join(last, "document").withColumn("last", F.col("page_id") == F.col("_last"))
     records = numbered.select("document", "page_id", F.expr(f"CASE WHEN document % 2 = 1 THEN {_record_sql(True)} ELSE {_record_sql(False)} END").alias("record"))
     bodies = records.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "record"))), lambda x: x["record"]), "").alias("body"))
-    documents = bodies.selectExpr(
-        "document", "CASE WHEN document % 2 = 1 THEN concat('<?xml version=\"1.0\"?><feed>', body, '</feed>') ELSE concat('<rss><channel><title>f</title>', body, '</channel></rss>') END AS value"
-    ).unionByName(bodies.where("document % 4 = 0").selectExpr("document", "'<html><body>Service unavailable</body></html>' AS value"))
+    feed = "CASE WHEN document % 2 = 1 THEN concat('<?xml version=\"1.0\"?><feed>', body, '</feed>') ELSE concat('<rss><channel><title>f</title>', body, '</channel></rss>') END"
+    error = "'<html><body>Service unavailable</body></html>'"
+    documents = bodies.selectExpr("document", f"explode(CASE WHEN document % 4 = 0 THEN array({feed}, {error}) ELSE array({feed}) END) AS value")
     root = scratch_path(spark, "damaged")
     keyed = documents.select(F.concat(F.lit("d"), "document").alias("feed_key"), "value")
-    keyed.write.option("maxRecordsPerFile", 1).partitionBy("feed_key").text(root)
+    # thousands of folders but few bytes: all cores get some, and tasks put their files in place themselves, the driver would do it one by one;
+    # nobody reads the folder before the write has ended
+    writer = keyed.repartition(spark.sparkContext.defaultParallelism, "feed_key").write.option("maxRecordsPerFile", 1)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("feed_key").text(root)
     return root
 
 

@@ -213,3 +213,14 @@ def test_jobs_commit(spark, config):
     assert jobs.ingest_job(spark, base, root, config, AS_OF, "P", rejects) == 2
     assert values(jobs.current(spark, base), "link", "title") == [("https://e.org/1", "New")]
     assert values(jobs.current(spark, rejects), "damage") == [("malformed",)]
+
+
+def test_damaged_documents_are_landed_by_all_cores(spark, tmp_path):
+    from newsloom.plans import registered_feeds
+
+    spark.range(2000).selectExpr("id AS page_id", "'u' AS url", "'h' AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    root = registered_feeds._land_damaged(spark, str(tmp_path))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(root)
+    parts = files.selectExpr("regexp_extract(path, 'part-([0-9]+)', 1) AS task", "feed_key").collect()
+    assert len(parts) == 80 + 20 and len({r["feed_key"] for r in parts}) == 80
+    assert len({r["task"] for r in parts}) > 4

@@ -38,8 +38,9 @@ def lower_case(col: Column) -> Column:
 
 def remove_special_characters(col: Column, remove_digits: bool = False) -> Column:
     """Keep ASCII letters, white space and, unless ``remove_digits``, ASCII digits."""
-    kept = "a-zA-Z" if remove_digits else "a-zA-Z0-9"
-    return F.regexp_replace(col, f"[^{kept}{_SPACE_CLASS}]", "")
+    # one test tells most characters; only the others are held against the list of spaces
+    other = r"\P{Alpha}" if remove_digits else r"\P{Alnum}"
+    return F.regexp_replace(col, f"[{other}&&[^{_SPACE_CLASS}]]", "")
 
 
 def before_bar(col: Column) -> Column:

@@ -24,7 +24,7 @@ from newsloom.plans import ingest
 from newsloom.plans.derived_views import AS_OF, HACKER_NEWS, table
 from newsloom.plans.ranking import top_results
 from newsloom.schema import ARTICLE, TAGGING_RESULT, conform
-from newsloom.session import configure, instant, materialize, scratch_path
+from newsloom.session import configure, instant, materialize, scratch_path, spread
 from newsloom.sources import feeds, payloads, publications, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +236,7 @@ def lower_case(spark, sf):
 
 @query
 def special_characters_removed(spark, sf):
-    d, c = table(spark, sf, "documents"), F.col("text")
+    d, c = spread(table(spark, sf, "documents").select("doc_id", "text")), F.col("text")
     return digest(
         d, "doc_id", kept_digits=tx.remove_special_characters(c), no_digits=tx.remove_special_characters(c, remove_digits=True)
     )

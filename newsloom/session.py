@@ -66,6 +66,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files would leave most of them idle.
+
+    A row group is read by one task, however large it is. Rows a task are counted without reading a column.
+    """
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    row = tasks.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (row["most"] or 0) * df.sparkSession.sparkContext.defaultParallelism <= 2 * (row["all"] or 0):
+        return df
+    return df.repartition(*df.columns)
+
+
 def _width(col: Column, kind: T.DataType) -> Column:
     """Approximate bytes of a value, from lengths alone."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

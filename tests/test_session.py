@@ -39,3 +39,24 @@ def test_arrow_batches_are_bounded_in_bytes(spark):
 
     long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
     assert long.select(batch_bytes("t").alias("n")).agg(F.max("n")).first()[0] <= 5_000_000  # of 40 million
+
+
+def test_spread_uses_all_cores_for_one_row_group(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    df = spark.range(10_000).selectExpr("id", "IF(id % 5 = 0, NULL, concat('t', id)) AS text")
+    df.repartition(1).write.parquet(one)
+    df.repartition(64).write.parquet(many)
+
+    def busy(frame):
+        return frame.select(F.spark_partition_id().alias("p")).distinct().count()
+
+    with_aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a megabyte a task here
+    try:
+        got = session.spread(spark.read.parquet(one))
+        assert busy(spark.read.parquet(one)) == 1 and busy(got) == 8
+        assert sorted(values(got), key=lambda r: r[0]) == sorted(values(df), key=lambda r: r[0])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_aqe)
+    stored = spark.read.parquet(many)
+    assert session.spread(stored) is stored

@@ -51,6 +51,11 @@ def _polar(tags: DataFrame) -> DataFrame:
     return tags.where("score <> 0 and name is not null").select("tag_id", "name", (F.col("score") < 0).alias("bad"))
 
 
+def _stored(tags: DataFrame) -> DataFrame:
+    """The tags that count, written once: a tag table may itself be the result of a scan."""
+    return materialize(tags.where("score <> 0 and name is not null").select("tag_id", "name", "score"), "tags")
+
+
 def _literals(tags: DataFrame, most: int) -> tuple[list[str], list[str]] | None:
     """Disliked and liked names in tag order, or None when there are more than ``most``."""
     rows = _polar(tags).orderBy("tag_id", "name").limit(most + 1).collect()
@@ -132,7 +137,8 @@ def _first_of_side(bad: bool) -> Column:
 def _named_windows(vocabulary: DataFrame, names: DataFrame, sizes: list) -> DataFrame:
     """``window, no, yes``: the places of the first disliked and the first liked name in each window that has one.
 
-    A prefix holds at least half of its name, so a piece of twice its size holds any name it begins.
+    A prefix holds at least half of its name, so a piece of twice its size holds any name it begins. A piece is cut
+    to the lengths of the names with its prefix and met by equality, so its work doesn't grow with their number.
     """
     found = None
     for row in sizes:
@@ -140,8 +146,12 @@ def _named_windows(vocabulary: DataFrame, names: DataFrame, sizes: list) -> Data
         pieces = vocabulary.select("number", F.explode(_pieces(F.col("shown"), row["size"], heads)).alias("around"))
         pieces = pieces.withColumn("piece", F.left("around", F.lit(row["size"])))
         found = pieces if found is None else found.union(pieces)
-    hits = found.join(names, "piece").where(F.startswith(F.col("around"), F.col("name")))
-    first = hits.groupBy("number").agg(_first_of_side(True).alias("no"), _first_of_side(False).alias("yes"))
+    lengths, _ = broadcast_if_small(names.groupBy("piece").agg(F.collect_set(F.char_length("name")).alias("lengths")), 1_000_000)
+    cut = F.transform(F.filter("lengths", lambda n: n <= F.char_length("around")), lambda n: F.left(F.col("around"), n))
+    begun = found.join(lengths, "piece").select("number", F.explode(cut).alias("name"))
+    places = names.groupBy("name").agg(_first_of_side(True).alias("no"), _first_of_side(False).alias("yes"))
+    places, _ = broadcast_if_small(places, 1_000_000)
+    first = begun.join(places, "name").groupBy("number").agg(F.min("no").alias("no"), F.min("yes").alias("yes"))
     return vocabulary.select("number", "window").join(first, "number").select("window", "no", "yes")
 
 
@@ -168,7 +178,7 @@ def _joined_hits(texts: DataFrame, tags: DataFrame) -> DataFrame:
         runs = stored.where("searchable").select("id", F.explode(_windows(F.col("text"), n)).alias("window"))
         shown = runs.select("window").distinct().select(F.monotonically_increasing_id().alias("number"), "window", title_case(F.col("window")).alias("shown"))
         vocabulary = materialize(shown, "vocabulary")
-        names, _ = broadcast_if_small(prefixes.where(F.col("words") == n).select("piece", "place", "name", "bad"))
+        names = prefixes.where(F.col("words") == n).select("piece", "place", "name", "bad")
         named = materialize(_named_windows(vocabulary, names, [row for row in sizes if row["words"] == n]), "named")
         named, _ = broadcast_if_small(named, 1_000_000)
         met = met.unionByName(runs.join(named, "window").groupBy("id").agg(F.min("no").alias("no"), F.min("yes").alias("yes")))
@@ -200,7 +210,7 @@ def mark_by_text(articles: DataFrame, tags: DataFrame) -> DataFrame:
     The first tag in ``tag_id`` order of each polarity counts. A lower-case tag matches only
     inside a word, one with several capitals in a row not at all.
     """
-    found = _text_hits(articles.select("id", search_text(F.col("title"), F.col("summary")).alias("text")), tags)
+    found = _text_hits(articles.select("id", search_text(F.col("title"), F.col("summary")).alias("text")), _stored(tags))
     return found.select("id", *[c.alias(k) for k, c in _mark(F.col("neg"), F.col("pos"), TITLE_SCORE).items()])
 
 
@@ -219,6 +229,7 @@ def guard_user_rows(articles: DataFrame) -> DataFrame:
 def run_rules(articles: DataFrame, tags: DataFrame, rescore: bool = False) -> DataFrame:
     """One (id, agent, score, reason) row per selected article: own tags, then text, then none."""
     selected = guard_user_rows(rescorable(articles) if rescore else unprocessed(articles))
+    tags = _stored(tags)
     own = _own_hits(selected.select("id", "title", "summary", "tags"), tags)
     by_tag = _mark(F.col("neg"), F.col("pos"), TAG_SCORE)
     own = own.select("id", "title", "summary", by_tag["score"].alias("own_score"), by_tag["reason"].alias("own_reason"))

@@ -211,3 +211,42 @@ def test_cascade_with_many_tags_searches_the_words_of_undecided_texts_once(spark
     got = sorted(values(rules.run_rules(df, tags)))
     assert [r[1:] for r in got] == [("TAG", -10, "bad") if i % 2 else ("TITLE", 5, "News") for i in range(40)]
     assert sorted(words) == ["news", "today"]
+
+
+def test_names_with_one_prefix_are_met_by_equality(spark, monkeypatch):
+    """A condition beside the equality would be tried on every name with the prefix of a piece."""
+    monkeypatch.setattr(rules, "LITERAL_TEXT_TAGS", 0)
+    plans, search = [], rules._named_windows
+
+    def noted(*args):
+        found = search(*args)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(rules, "_named_windows", noted)
+    tags = spark.createDataFrame([(i, f"Same{i}", 1 if i % 2 else -1) for i in range(300)], TAGS)
+    df = articles(spark, *[(f"same{i}", "", None, None, None) for i in range(150)])
+    got = [r[1:] for r in sorted(values(rules.mark_by_text(df, tags)))]
+    names = [f"Same{i}" for i in range(300)]
+    for i, g in enumerate(got):
+        inside = [n for n in names if n in f"Same{i}"]
+        bad, good = ([n for n in inside if int(n[4:]) % 2 == k] for k in (0, 1))
+        assert g == ((-5, bad[0]) if bad and not good else (5, good[0]) if good and not bad else (0, None))
+    joins = [line for line in "".join(plans).splitlines() if "Join Inner" in line]
+    assert joins and not any("AND" in j or "StartsWith" in j for j in joins)
+
+
+def test_a_tag_table_is_made_once(spark, monkeypatch):
+    monkeypatch.setattr(rules, "LITERAL_OWN_TAGS", 0)
+    monkeypatch.setattr(rules, "LITERAL_TEXT_TAGS", 0)
+    made = spark.sparkContext.accumulator(0)
+
+    def names(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    tags = spark.createDataFrame([(1, "bad", -1), (2, "News", 1)], TAGS).coalesce(1).mapInArrow(names, TAGS)
+    df = articles(spark, ("news", "", ["x"], None, None), ("news", "", ["bad"], None, None))
+    assert [r[1:] for r in sorted(values(rules.run_rules(df, tags)))] == [("TITLE", 5, "News"), ("TAG", -10, "bad")]
+    assert made.value == 2

@@ -3,8 +3,9 @@
 A line is the set of its words. Words are ordered by rarity, so the first ones of a line (its prefix) are
 shared by few lines, and similar lines share one of them. Lines that meet in a prefix word pass length
 and positional filters and a parity signature, all of them bounds that no similar pair violates;
-the rest is verified by Jaccard on the sets. A line goes when an earlier line (smaller doc_id, then
-smaller line number) is similar to it, whether or not that one stays. Built-in functions only.
+the signature grows with the line, since longer lines may differ in more words. The rest is verified by
+Jaccard on the sets. A line goes when an earlier line (smaller doc_id, then smaller line number) is
+similar to it, whether or not that one stays. Built-in functions only.
 
 Equal lines are collapsed before the join. A line then meets the first and the previous line of each of
 its prefix words, and the nearest of these by parity is verified, which finds a partner for nearly all
@@ -29,10 +30,16 @@ from newsloom.session import broadcast_if_small, materialize, scratch_path
 
 @dataclass(frozen=True)
 class Settings:
-    """Similarity in percent; ``buckets`` (a power of two) is the fixed size of the rarity table, a byte each."""
+    """Similarity in percent; ``buckets`` (a power of two) is the fixed size of the rarity table, a byte each.
+
+    A line's signature has 64 bits, twice that beyond ``short`` words, four times that beyond twice as many, and so on up
+    to ``widest`` times (a power of two).
+    """
 
     percent: int = 80
     buckets: int = 1 << 18
+    short: int = 96
+    widest: int = 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,16 +94,39 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
-    """``token, pos, n, parity, doc_id, line_no`` for the prefix words of the first line of each kind."""
+    """``token, pos, n, even, odd, wide, doc_id, line_no`` for the prefix words of the first line of each kind."""
     classes = rarity_table(docs, s)
     repeated, _ = broadcast_if_small(repeated, 1_000_000)
     lines = lines_of(docs).select("doc_id", "line_no", "line", *_identity(F.col("line"))).join(repeated, ["h1", "h2"], "left")
     lines = lines.where("first is null or struct(doc_id, line_no) = first")
     words = lines.select("doc_id", "line_no", _ranked_words(F.col("line"), classes, s).alias("words"))
     n = F.size("words")
-    parity = F.expr("aggregate(words, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
-    rows = words.select("doc_id", "line_no", n.alias("n"), parity.alias("parity"), F.slice("words", F.lit(1), _kept(n, s)).alias("prefix"))
-    return rows.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "parity", "doc_id", "line_no")
+    signed = words.select("doc_id", "line_no", "words", n.alias("n"), _signature(F.col("words"), s).alias("signature"))
+    xor = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda u, v: u.bitwiseXOR(v))
+    size = F.size("signature")
+    rows = signed.select(
+        "doc_id",
+        "line_no",
+        "n",
+        F.when(size == 1, F.get("signature", F.lit(0))).otherwise(xor(F.filter("signature", lambda _, i: i % 2 == 0))).alias("even"),
+        F.when(size > 1, xor(F.filter("signature", lambda _, i: i % 2 == 1))).alias("odd"),
+        F.when(size > 2, F.col("signature")).alias("wide"),
+        F.slice("words", F.lit(1), _kept(F.col("n"), s)).alias("prefix"),
+    )
+    return rows.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "even", "odd", "wide", "doc_id", "line_no")
+
+
+def _signature(words: Column, s: Settings) -> Column:
+    """Parity signature of a line: a power of two of numbers, each of them the parities of a share of its words."""
+    parity = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+    shares = F.least(F.lit(s.widest), F.pow(F.lit(2), F.ceil(F.log2(F.size(words) / s.short)))).cast("int")
+    share = lambda i: F.filter(words, lambda x: F.shiftright(x, 6).bitwiseAND(shares - 1) == i)
+    wide = F.transform(F.sequence(F.lit(0), shares - 1), lambda i: parity(share(i)))
+    return F.when(F.size(words) > s.short, wide).otherwise(F.array(parity(words)))
+
+
+def _bit(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _by_token(postings: DataFrame) -> tuple[DataFrame, str]:
@@ -117,8 +147,30 @@ def _needed(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
 def _of_one_kind(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
     """Length and parity filters: true for every pair of similar lines."""
     t = s.percent / 100
-    differing = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
-    return (100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"])) & (differing <= (x["n"] + y["n"]) * (1 - t) / (1 + t) + 1e-9)
+    most = (x["n"] + y["n"]) * (1 - t) / (1 + t) + 1e-9
+    of_length = 100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"])
+    wide = x["wide"].isNotNull() & y["wide"].isNotNull()
+    return of_length & (_far(x, y) <= most) & F.when(wide, _differing(x["wide"], y["wide"]) <= most).otherwise(F.lit(True))
+
+
+def _far(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Differing bits of two signatures folded to 128 bits, or to 64 where one has no more."""
+    even, odd = x["even"].bitwiseXOR(y["even"]), x["odd"].bitwiseXOR(y["odd"])
+    rest = F.coalesce(x["odd"], F.lit(0)).bitwiseXOR(F.coalesce(y["odd"], F.lit(0)))
+    return F.when(odd.isNotNull(), F.bit_count(even) + F.bit_count(odd)).otherwise(F.bit_count(even.bitwiseXOR(rest)))
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Differing bits of two wide signatures, the wider one folded to the size of the other."""
+
+    def folded(a: Column, size: Column) -> Column:
+        share = lambda i: F.filter(a, lambda _, j: j % size == i)
+        xor = lambda i: F.aggregate(share(i), F.lit(0).cast("long"), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(a) == size, a).otherwise(F.transform(F.sequence(F.lit(0), size - 1), xor))
+
+    size = F.least(F.size(x), F.size(y))
+    bits = F.zip_with(folded(x, size), folded(y, size), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(bits, F.lit(0), lambda a, b: a + b)
 
 
 def _may_be_similar(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
@@ -156,7 +208,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
     """First lines of their kind that are similar to an earlier line of another kind."""
     postings, table = _by_token(_postings(docs, repeated, s))
-    columns = ["n", "pos", "parity", "doc_id", "line_no"]
+    columns = ["n", "pos", "even", "odd", "wide", "doc_id", "line_no"]
     here = {c: F.col(c) for c in columns}
 
     order = Window.partitionBy("token").orderBy("doc_id", "line_no")
@@ -166,8 +218,7 @@ def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> Da
     there = {c: F.col(f"y.{c}") for c in columns}
     met = met.where(_may_be_similar(here, there, s) & (F.struct("doc_id", "line_no") > F.struct("y.doc_id", "y.line_no")))
     # one partner for each line: the one with the fewest different bits
-    far = F.bit_count(F.col("parity").bitwiseXOR(F.col("y.parity")))
-    nearest = F.min(F.struct(far.alias("far"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"))).alias("y")
+    nearest = F.min(F.struct(_far(here, there).alias("far"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"))).alias("y")
     pairs = materialize(met.groupBy("doc_id", "line_no").agg(nearest).select("doc_id", "line_no", "y.y_doc", "y.y_line"), "line_pairs")
     found = materialize(_verified(docs, pairs, s), "similar_lines")
 

@@ -24,6 +24,7 @@ from newsloom.llm import (
     suffix_dedup,
     toxicity,
 )
+from newsloom.session import materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, first string, words string, start long"
@@ -342,6 +343,33 @@ def test_line_dedup_of_long_lines(spark):
     assert got == expected
 
 
+def test_line_dedup_signatures_grow_with_the_line(spark, monkeypatch):
+    """Signatures grow with the line: long lines that share words but aren't similar never meet as text, and no similar pair is lost."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    lines = [rng.sample(vocabulary, 300) for _ in range(60)]
+    for n in (60, 95, 97, 105, 192, 194, 215, 384, 390, 430, 800):
+        base = rng.sample(vocabulary, n)
+        for share in (0.03, 0.1, 0.11, 0.12, 0.2):
+            kept = base[: n - round(n * share)]
+            lines += [kept, kept + [f"x{len(lines)}_{i}" for i in range(n - len(kept))], [*base, *(f"y{len(lines)}_{i}" for i in range(round(n * share)))]]
+        lines.append(base)
+    sets = [set(x) for x in lines]
+    want = {i for i, x in enumerate(sets) if any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:i])}
+    pairs = []
+
+    def noted(df, name="stage"):
+        stored = materialize(df, name)
+        if name == "line_pairs":
+            pairs.extend(stored.collect())
+        return stored
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    got = {r["doc_id"] for r in line_dedup.removed_lines(frame(spark, [(i, " ".join(x)) for i, x in enumerate(lines)])).collect()}
+    assert got == want and len(want) > 50
+    assert not [r for r in pairs if r["doc_id"] < 60]
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[20][1]), (2, " ".join(words(texts[33][1])[-40:])), (3, "never seen words in here at all"), (4, None), (5, ""), (6, "one"), (6, "one"), (None, "one")]
     items = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, doc_id string, n long")

@@ -8,8 +8,9 @@ Jaccard on the sets. A line goes when an earlier line (smaller doc_id, then smal
 similar to it, whether or not that one stays. Built-in functions only.
 
 Equal lines are collapsed before the join. A line then meets the first and the previous line of each of
-its prefix words, and the nearest of these by parity is verified, which finds a partner for nearly all
-copies in linear work; only lines without a partner so far are joined with all lines of their prefix words.
+its prefix words, on their way to a table of all of these, and the nearest one by parity is verified, which
+finds a partner for nearly all copies in linear work; only lines without a partner so far are joined with
+all lines of their prefix words. Words of a single line are not in the table.
 
 The rarity of a word is the count of its hash bucket: a table of fixed size, counted over all words,
 decides the order alone and never which lines are similar. Words are compared by 56 bits of hash and the
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,9 @@ from newsloom.llm.common import word_array
 from newsloom.session import broadcast_if_small, materialize, scratch_path
 
 
+COLUMNS = ["n", "pos", "even", "odd", "wide", "doc_id", "line_no"]
+
+
 @dataclass(frozen=True)
 class Settings:
     """Similarity in percent; ``buckets`` (a power of two) is the fixed size of the rarity table, a byte each.
@@ -56,7 +62,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def _words(text: Column) -> Column:
     """Words of a text, faster where the space is its only separator."""
     plain = F.array_remove(F.split(text, " "), "")
-    return F.when(text.rlike("[\\t-\\r]"), word_array(text)).otherwise(plain)
+    controls = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\n\v\f\r"))
+    return F.when(controls, word_array(text)).otherwise(plain)
 
 
 def rarity_table(docs: DataFrame, s: Settings) -> list[int]:
@@ -72,10 +79,11 @@ def rarity_table(docs: DataFrame, s: Settings) -> list[int]:
 
 def _ranked_words(line: Column, classes: list[int], s: Settings) -> Column:
     """Distinct words of a line as numbers in order of rarity."""
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")  # folded into one constant
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")  # folded into one constant
 
     def rank(h: Column) -> Column:
-        rarity = F.get(table, h.bitwiseAND(F.lit(s.buckets - 1)).cast("int")).cast("long")
+        # never NULL, so that the sort below is one of plain numbers
+        rarity = F.coalesce(table[h.bitwiseAND(F.lit(s.buckets - 1))], F.lit(0).cast("long"))
         return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
@@ -86,22 +94,30 @@ def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
+def _place() -> Column:
+    """Document and line number as one number of the same order: its minimum is found by hashing, that of a struct by sorting."""
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+
+
 def _repeated(docs: DataFrame) -> DataFrame:
     """``h1, h2, first``: lines that occur more than once, with the first place of each."""
-    lines = lines_of(docs).select("doc_id", "line_no", *_identity(F.col("line")))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    lines = lines_of(docs).select(_place().alias("place"), *_identity(F.col("line")))
+    firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     return materialize(firsts.where("n > 1").select("h1", "h2", "first"), "repeated_lines")
 
 
 def _postings(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
-    """``token, pos, n, even, odd, wide, doc_id, line_no`` for the prefix words of the first line of each kind."""
+    """``token, pos, n, even, odd, wide, doc_id, line_no`` for the prefix words of the first line of each kind.
+
+    A copy of an earlier line is one row, at the position -1 of a token made of its place.
+    """
     classes = rarity_table(docs, s)
     repeated, _ = broadcast_if_small(repeated, 1_000_000)
     lines = lines_of(docs).select("doc_id", "line_no", "line", *_identity(F.col("line"))).join(repeated, ["h1", "h2"], "left")
-    lines = lines.where("first is null or struct(doc_id, line_no) = first")
-    words = lines.select("doc_id", "line_no", _ranked_words(F.col("line"), classes, s).alias("words"))
-    n = F.size("words")
-    signed = words.select("doc_id", "line_no", "words", n.alias("n"), _signature(F.col("words"), s).alias("signature"))
+    lines = lines.select("doc_id", "line_no", "line", F.coalesce(_place() > F.col("first"), F.lit(False)).alias("copy"))
+    words = lines.select("doc_id", "line_no", F.when(~F.col("copy"), _ranked_words(F.col("line"), classes, s)).alias("words"))
+    sized = words.select("doc_id", "line_no", "words", F.size("words").alias("n"), _shares(F.size("words"), s).alias("shares"))
+    signed = sized.select("doc_id", "line_no", "words", "n", _signature(F.col("words"), F.col("shares")).alias("signature"))
     xor = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda u, v: u.bitwiseXOR(v))
     size = F.size("signature")
     rows = signed.select(
@@ -113,32 +129,65 @@ def _postings(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
         F.when(size > 2, F.col("signature")).alias("wide"),
         F.slice("words", F.lit(1), _kept(F.col("n"), s)).alias("prefix"),
     )
-    return rows.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "even", "odd", "wide", "doc_id", "line_no")
+    rows = rows.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "even", "odd", "wide", "doc_id", "line_no")
+    return rows.withColumns({"pos": F.coalesce("pos", F.lit(-1)), "token": F.coalesce("token", F.xxhash64("doc_id", "line_no"))})
 
 
-def _signature(words: Column, s: Settings) -> Column:
-    """Parity signature of a line: a power of two of numbers, each of them the parities of a share of its words."""
+def _shares(n: Column, s: Settings) -> Column:
+    """Numbers in the signature of a line of ``n`` words."""
+    wide = F.least(F.lit(s.widest), F.pow(F.lit(2), F.ceil(F.log2(n / s.short)))).cast("int")
+    return F.when(n > s.short, wide).otherwise(F.lit(1))
+
+
+def _signature(words: Column, shares: Column) -> Column:
+    """Parity signature of a line: ``shares`` numbers (a power of two), each of them the parities of a share of its words."""
     parity = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
-    shares = F.least(F.lit(s.widest), F.pow(F.lit(2), F.ceil(F.log2(F.size(words) / s.short)))).cast("int")
     share = lambda i: F.filter(words, lambda x: F.shiftright(x, 6).bitwiseAND(shares - 1) == i)
     wide = F.transform(F.sequence(F.lit(0), shares - 1), lambda i: parity(share(i)))
-    return F.when(F.size(words) > s.short, wide).otherwise(F.array(parity(words)))
+    return F.when(shares > 1, wide).otherwise(F.array(parity(words)))
 
 
 def _bit(x: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _by_token(postings: DataFrame) -> tuple[DataFrame, str]:
-    """The postings as a bucketed table in the shared folder, so both joins on the token do without a shuffle."""
+def _by_token(postings: DataFrame, s: Settings) -> tuple[DataFrame, str]:
+    """The postings as a bucketed table in the shared folder, so the join on the token does without a shuffle.
+
+    On the way there each posting meets the first and the previous line of its token: ``met`` is the nearer one of those that
+    may be similar, as ``far, y_doc, y_line``. Postings alone with their token are left out; copies are not.
+    """
     spark = postings.sparkSession
     name = f"line_postings_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = postings.repartition(parts, "token").write.format("parquet").bucketBy(parts, "token").sortBy("token").option("compression", "zstd")
-    writer.option("path", scratch_path(spark, "line_postings")).saveAsTable(name)
+    order = Window.partitionBy("token").orderBy("doc_id", "line_no")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # by rows, the first one is looked up once a token
+    others = [F.first(c).over(whole).alias(f"first_{c}") for c in COLUMNS] + [F.lag(c).over(order).alias(f"previous_{c}") for c in COLUMNS]
+    ranked = postings.repartition(parts, "token").select("token", *COLUMNS, *others, F.lead("doc_id").over(order).alias("next"))
+    here = {c: F.col(c) for c in COLUMNS}
+
+    def met(other: str) -> Column:
+        there = {c: F.col(f"{other}_{c}") for c in COLUMNS}
+        found = (here["pos"] >= 0) & (there["pos"] >= 0) & _later(here, there) & _may_be_similar(here, there, s) & _of_one_kind_widely(here, there, s)
+        return F.when(found, F.struct(_far(here, there).alias("far"), there["doc_id"].alias("y_doc"), there["line_no"].alias("y_line")))
+
+    shared = ranked.where("previous_doc_id is not null or next is not null or pos < 0")
+    rows = shared.select("token", *COLUMNS, F.least(met("first"), met("previous")).alias("met"))
+    writer = rows.write.format("parquet").bucketBy(parts, "token").option("compression", "zstd")
+    # the rarity table is a constant in these expressions: the texts of the plan, which the driver keeps, are made without them
+    shown = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "0")
+    try:
+        writer.option("path", scratch_path(spark, "line_postings")).saveAsTable(name)
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", shown)
     return spark.table(name), name
 
 
+def _later(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    return (y["doc_id"] < x["doc_id"]) | ((y["doc_id"] == x["doc_id"]) & (y["line_no"] < x["line_no"]))
+
+
 def _needed(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
     """The smallest number of common words with which two lines are similar."""
     return F.ceil((x["n"] + y["n"]) * s.percent / (100 + s.percent) - 1e-9)
@@ -146,11 +195,20 @@ def _needed(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
 
 def _of_one_kind(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
     """Length and parity filters: true for every pair of similar lines."""
-    t = s.percent / 100
-    most = (x["n"] + y["n"]) * (1 - t) / (1 + t) + 1e-9
     of_length = 100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"])
+    return of_length & (_far(x, y) <= _most(x, y, s))
+
+
+def _most(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
+    """The largest number of words in one of two similar lines only."""
+    t = s.percent / 100
+    return (x["n"] + y["n"]) * (1 - t) / (1 + t) + 1e-9
+
+
+def _of_one_kind_widely(x: dict[str, Column], y: dict[str, Column], s: Settings) -> Column:
+    """The parity filter of wide signatures; it has lambdas, for which Spark makes no code."""
     wide = x["wide"].isNotNull() & y["wide"].isNotNull()
-    return of_length & (_far(x, y) <= most) & F.when(wide, _differing(x["wide"], y["wide"]) <= most).otherwise(F.lit(True))
+    return F.when(wide, _differing(x["wide"], y["wide"]) <= _most(x, y, s)).otherwise(F.lit(True))
 
 
 def _far(x: dict[str, Column], y: dict[str, Column]) -> Column:
@@ -205,44 +263,35 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     return x.join(y, ["y_doc", "y_line"]).where(similar).select("doc_id", "line_no").distinct()
 
 
-def _similar_to_earlier(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
-    """First lines of their kind that are similar to an earlier line of another kind."""
-    postings, table = _by_token(_postings(docs, repeated, s))
-    columns = ["n", "pos", "even", "odd", "wide", "doc_id", "line_no"]
-    here = {c: F.col(c) for c in columns}
-
-    order = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    other = F.struct(*columns)
-    ranked = postings.select("token", *columns, F.first(other).over(order).alias("first"), F.lag(other).over(order).alias("previous"))
-    met = ranked.select(*columns, F.explode(F.array("first", "previous")).alias("y")).where("y is not null")
-    there = {c: F.col(f"y.{c}") for c in columns}
-    met = met.where(_may_be_similar(here, there, s) & (F.struct("doc_id", "line_no") > F.struct("y.doc_id", "y.line_no")))
+def _gone(docs: DataFrame, repeated: DataFrame, s: Settings) -> DataFrame:
+    """Copies, and first lines of their kind that are similar to an earlier line of another kind."""
+    postings, table = _by_token(_postings(docs, repeated, s), s)
     # one partner for each line: the one with the fewest different bits
-    nearest = F.min(F.struct(_far(here, there).alias("far"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"))).alias("y")
-    pairs = materialize(met.groupBy("doc_id", "line_no").agg(nearest).select("doc_id", "line_no", "y.y_doc", "y.y_line"), "line_pairs")
+    met = postings.where("met is not null").groupBy("doc_id", "line_no").agg(F.min("met").alias("y"))
+    pairs = materialize(met.select("doc_id", "line_no", "y.y_doc", "y.y_line"), "line_pairs")
     found = materialize(_verified(docs, pairs, s), "similar_lines")
+    copies = materialize(postings.where("pos < 0").select("doc_id", "line_no"), "copied_lines")
 
+    postings = postings.where("pos >= 0").drop("met")
     known, _ = broadcast_if_small(found, 2_000_000)
     open_ = postings.join(known, ["doc_id", "line_no"], "left_anti").alias("x")
     every = postings.alias("y")
-    x, y = ({c: F.col(f"{side}.{c}") for c in columns} for side in "xy")
-    later = (y["doc_id"] < x["doc_id"]) | ((y["doc_id"] == x["doc_id"]) & (y["line_no"] < x["line_no"]))
+    x, y = ({c: F.col(f"{side}.{c}") for c in COLUMNS} for side in "xy")
     # a similar pair passes where its first common word meets, so the other meetings need not be counted
-    rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & later & _may_be_similar(x, y, s))
-    rest = rest.select(x["doc_id"].alias("doc_id"), x["line_no"].alias("line_no"), y["doc_id"].alias("y_doc"), y["line_no"].alias("y_line")).distinct()
+    rest = open_.join(every, (F.col("x.token") == F.col("y.token")) & _later(x, y) & _may_be_similar(x, y, s))
+    # behind the generator the wide filter stays out of the join, which would run without generated code for it
+    both = F.array(F.struct(F.struct(x["n"], x["wide"]).alias("x"), F.struct(y["n"], y["wide"]).alias("y")))
+    rest = rest.select(x["doc_id"].alias("doc_id"), x["line_no"].alias("line_no"), y["doc_id"].alias("y_doc"), y["line_no"].alias("y_line"), F.explode_outer(both).alias("both"))
+    wide = ({c: F.col(f"both.{side}.{c}") for c in ("n", "wide")} for side in "xy")
+    rest = rest.where(_of_one_kind_widely(*wide, s)).select("doc_id", "line_no", "y_doc", "y_line").distinct()
     rest = materialize(rest.join(pairs, ["doc_id", "line_no", "y_doc", "y_line"], "left_anti"), "line_pairs")
     docs.sparkSession.sql(f"drop table {table}")
-    return found.unionByName(_verified(docs, rest, s)).distinct()
+    return copies.unionByName(found).unionByName(_verified(docs, rest, s)).distinct()
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, line_no`` of every line that goes: copies of an earlier line and lines similar to one."""
-    repeated = _repeated(docs)
-    firsts, _ = broadcast_if_small(repeated, 1_000_000)
-    lines = lines_of(docs).select("doc_id", "line_no", *_identity(F.col("line")))
-    copies = lines.join(firsts, ["h1", "h2"]).where("struct(doc_id, line_no) > first").select("doc_id", "line_no")
-    similar = _similar_to_earlier(docs, repeated, settings)
-    return materialize(copies.unionByName(similar).distinct(), "removed_lines")
+    return materialize(_gone(docs, _repeated(docs), settings), "removed_lines")
 
 
 def line_report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from newsloom.llm import (
     components,
@@ -370,6 +371,30 @@ def test_line_dedup_signatures_grow_with_the_line(spark, monkeypatch):
     assert not [r for r in pairs if r["doc_id"] < 60]
 
 
+def test_line_dedup_cuts_texts_into_lines_twice(spark, monkeypatch):
+    """Copies come out of the pass that makes the postings, also where ids or lines repeat within a document."""
+    docs = frame(spark, [(2, "a b c\na b c\nd e f"), (1, "a b c\nx\ty z"), (3, "x\ty z\n\nq"), (3, "x\ty z\n\nq"), (-4, "d e f"), (None, "q")])
+    whole, lines_of = [], line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "lines_of", lambda some: whole.append(some is docs) or lines_of(some))
+    got = sorted(tuple(r) for r in line_dedup.removed_lines(docs).select("doc_id", "line_no").collect())
+    assert got == [(2, 0), (2, 1), (2, 2), (3, 0)]
+    assert sum(whole) == 2
+
+
+def test_line_dedup_keeps_the_rarity_table_out_of_the_texts_of_plans(docs, monkeypatch):
+    sizes, save = [], DataFrameWriter.saveAsTable
+
+    def noted(self, name, *args, **kwargs):
+        sizes.append(len(self._df._jdf.queryExecution().toString()))
+        return save(self, name, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", noted)
+    shown = docs.sparkSession.conf.get("spark.sql.debug.maxToStringFields")
+    line_dedup.removed_lines(docs)
+    assert len(sizes) == 1 and sizes[0] < 200_000
+    assert docs.sparkSession.conf.get("spark.sql.debug.maxToStringFields") == shown
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[20][1]), (2, " ".join(words(texts[33][1])[-40:])), (3, "never seen words in here at all"), (4, None), (5, ""), (6, "one"), (6, "one"), (None, "one")]
     items = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, doc_id string, n long")
